@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import pii, token_counts
+from fieldloom.llm import decontaminate, pii, token_counts
 from fieldloom.llm._common import keyed_text, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_token_counts": op3_token_counts, "op6_pii": op6_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op6_pii": op6_pii}
 
 
 def oracle_sql() -> dict[str, str]:

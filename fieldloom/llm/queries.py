@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, pii, token_counts
-from fieldloom.llm._common import keyed_text, table
+from fieldloom.llm import decontaminate, language, pii, token_counts
+from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -32,7 +38,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op6_pii": op6_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language, pii, token_counts
+from fieldloom.llm import decontaminate, language, pii, quality, token_counts
 from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
@@ -37,8 +37,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language, pii, quality, token_counts
+from fieldloom.llm import decontaminate, language, mixing, pii, quality, token_counts
 from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
@@ -37,6 +37,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -44,8 +48,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op8_quality": op8_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.duckdb_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language, mixing, pii, quality, token_counts
+from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii, quality, token_counts
 from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
@@ -13,6 +13,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,15 +130,16 @@ def _regions(docs: DataFrame, shared, masks) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc)),
+                    pa.array((at[first] - starts[doc]).astype(np.int32)),  # margins of two regions may begin alike
                     pa.array((lo - starts[doc]).astype(np.int32)),
                     pa.ListArray.from_arrays(cut, hits),
                     pa.ListArray.from_arrays(pa.array(starts_of(hi - lo), pa.int32()), pa.array(body)),
                 ],
-                ["doc_id", "begin", "hits", "stretch"],
+                ["doc_id", "region", "begin", "hits", "stretch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, begin int, hits array<struct<hash:long,pos:int>>, stretch array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, region int, begin int, hits array<struct<hash:long,pos:int>>, stretch array<long>")
 
 
 def longest_span(equal: np.ndarray, fifths: int = MIN_SHARE_FIFTHS) -> tuple[int, int, int]:
@@ -174,10 +175,10 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
     small = F.broadcast if n <= BROADCAST_SEEDS else (lambda df: df)
     shared = spark.sparkContext.broadcast(_filter(seeds, n))
     regions = materialize(_regions(docs, shared, masks), "regions")
-    hits = regions.select("doc_id", "begin", F.explode("hits").alias("hit")).select("doc_id", "begin", "hit.*")
-    found = hits.join(small(seeds), "hash").select("doc_id", "begin", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    lists = found.groupBy("doc_id", "begin").agg(F.collect_set(F.struct("item_id", "shift")).alias("found"))
-    both = lists.alias("f").join(regions.alias("r"), F.expr("f.doc_id <=> r.doc_id and f.begin = r.begin"))
+    hits = regions.select("doc_id", "region", F.explode("hits").alias("hit")).select("doc_id", "region", "hit.*")
+    found = hits.join(small(seeds), "hash").select("doc_id", "region", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    lists = found.groupBy("doc_id", "region").agg(F.collect_set(F.struct("item_id", "shift")).alias("found"))
+    both = lists.alias("f").join(regions.alias("r"), F.expr("f.doc_id <=> r.doc_id and f.region = r.region"))
     each = both.select("r.doc_id", "r.begin", "r.stretch", F.explode("found").alias("at")).select("doc_id", "begin", "stretch", "at.*")
     each = each.alias("e").join(small(_token_rows(items)).alias("i"), F.expr("e.item_id <=> i.item_id"))
     each = each.select("doc_id", "e.item_id", "begin", "shift", "stretch", "passage")
@@ -190,6 +191,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
                 text = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
                 passage = batch.column(5)[i].values.to_numpy(zero_copy_only=False)
                 lo, hi = max(0, -shift), min(len(passage), len(text) - shift)
+                if lo >= hi:  # another row of the same doc_id
+                    continue
                 a, b, same = longest_span(text[lo + shift : hi + shift] == passage[lo:hi])
                 if b - a >= min(min_span, len(passage)):
                     kept.append(i)

@@ -64,6 +64,10 @@ def test_against_brute_force(spark):
             at = r.randrange(len(w))
             w[at:at] = q if k % 5 else q[: len(q) // 2]
         docs.append((k, " ".join(w).upper() if k % 4 else ",  ".join(w)))
+    for gap in (30, 60, 90, 130):  # several stretches of one document, near its start
+        w = words(items[2][1]) + r.choices(vocab, k=gap) + words(items[3][1]) + r.choices(vocab, k=gap) + words(items[2][1])
+        docs.append((200 + gap, " ".join(w)))
+    docs += [(102, "another text of that id " + items[4][1])]
     docs += [docs[5], (None, items[5][1])]
     a = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii, quality, token_counts
+from fieldloom.llm import decontaminate, html_text, language, mixing, near_dedup, pii, quality, token_counts
 from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
@@ -27,6 +27,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -52,7 +56,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op5_html_text": op5_html_text, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:

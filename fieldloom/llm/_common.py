@@ -72,6 +72,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int
             yield batch.slice(a, b - a)
 
 
+#: Ids up to this number are broadcast to filter by (under 64 MB), beyond it shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is (``keep``) or is not in ``ids`` (one column)."""
+    ids = materialize(ids.toDF("__id").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi" if keep else "left_anti")
+
+
 class Numbered:
     """Numbers words as they come and keeps, for each number, what ``derive``
     makes of the new words (a list) as rows of one array."""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, materialize, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices, starts_of
 
 #: Offsets of the token positions that each mask keeps (five each).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 5, 6), (0, 2, 3, 5, 8), (0, 1, 4, 6, 7))
@@ -220,5 +220,4 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, without those that hold a test passage."""
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return by_ids(docs, overlaps(docs, items).select("doc_id"), keep=False)

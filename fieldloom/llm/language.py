@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, crc_mod, keyed_text, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, by_ids, crc_mod, keyed_text, mix64, slices, starts_of
 
 #: Labelled rows at most for the fit (a bounded sample, lowest crc32 of the id first),
 #: and the words taken from each of them.
@@ -223,7 +223,7 @@ def learn(docs: DataFrame) -> Field:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose language is known with at least ``least``."""
-    good = predict(docs, learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    ids = good.select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__good")), "left_semi")
+    """The documents, all columns, whose language is known with at least ``least``. Of rows
+    that repeat an id, none stays if one is rejected."""
+    bad = predict(docs, learn(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    return by_ids(docs, bad.select("doc_id"), keep=False)

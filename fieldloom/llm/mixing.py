@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import materialize
+from fieldloom.llm._common import by_ids, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A topic holds if the text matches; the first that does is the document's, else OTHER.
@@ -107,8 +107,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
 def draw(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, seed: int = 0) -> DataFrame:
     """The documents drawn, all columns."""
-    kept = mix(docs, targets, budget, seed).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return by_ids(docs, mix(docs, targets, budget, seed).where("kept").select("doc_id"), keep=True)
 
 
 def duckdb_sql(sweeps: int = SWEEPS, rounds: int = ROUNDS, budget: float = BUDGET, flatten: float = FLATTEN, seed: int = 0) -> str:

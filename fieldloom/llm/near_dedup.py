@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fieldloom.llm._common import Numbered, materialize, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices, starts_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair agrees on no band of five with probability 7e-6, on at
@@ -245,7 +245,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             keys = pa.array(_keys(*_tokens(batch.column(at).to_pylist(), numbered)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "__key"])
 
-    kept = classes(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = materialize(classes(docs, similarity), "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id tells a row
+        return by_ids(docs, found.where(~first).select("doc_id"), keep=False)
+    kept = found.where(first)
     kept = materialize(kept.groupBy("doc_id", "key").count(), "kept").toDF("__id", "__k", "__n")
     keyed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__key", BinaryType())]))
     out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__k")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, html_text, language, lm, mixing, near_dedup, pii, quality, token_counts
+from fieldloom.llm import decontaminate, html_text, language, lm, mixing, near_dedup, pii, quality, search, token_counts
 from fieldloom.llm._common import crc_mod, keyed_text, table
 
 
@@ -55,13 +55,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op5_html_text": op5_html_text, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_lm": op10_lm}
+    return {"op1_decontaminate": op1_decontaminate, "op2_near_dedup": op2_near_dedup, "op3_token_counts": op3_token_counts, "op4_language": op4_language, "op5_html_text": op5_html_text, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_search": op9_search, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.duckdb_sql()}
+    return {"op7_mixing": mixing.duckdb_sql(), "op9_search": search.duckdb_sql()}

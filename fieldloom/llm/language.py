@@ -111,10 +111,12 @@ def training_rows(docs: DataFrame, modulus: int = 4, held_out: int = 2, rows: in
     """The first words of the labelled rows to fit on: non-null lang and text, not held out.
 
     Only this sample is cut; prediction reads whole texts."""
-    usable = docs.select("doc_id", "text", "lang").where((crc_mod(F.col("doc_id"), modulus) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.where((crc_mod(F.col("doc_id"), modulus) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    ids = usable.select(crc.alias("c"), F.col("doc_id").alias("__id")).orderBy("c", "__id").limit(rows).select("__id").distinct()
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), 1, FIT_WORDS)
-    picked = usable.select(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("c"), "doc_id", "text", "lang").orderBy("c", "doc_id").limit(rows)
-    return picked.select("lang", words.alias("words"))
+    picked = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return picked.select("lang", words.alias("words")).orderBy("lang", "words")
 
 
 def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Field:

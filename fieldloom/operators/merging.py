@@ -78,11 +78,12 @@ def merge_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> Da
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), "doc_type", "header", "line_items")))
     grouped = pages.groupBy(doc).agg(ordered.alias("p"))
     kinds = F.filter(F.transform("p", lambda x: x["doc_type"]), lambda k: k.isin(*types))
-    n = {k: F.size(F.filter(kinds, lambda x, k=k: x == k)) for k in types}
+    count = lambda kind: F.size(F.filter(kinds, lambda x: x == kind))
+    n = {k: count(k) for k in types}
     kind = F.when(F.size(kinds) == 0, "invoice").when(n["invoice"] == n["waybill"], F.try_element_at(kinds, F.lit(1))).when(n["invoice"] > n["waybill"], "invoice").otherwise("waybill")
     named = [F.col("p")[0]["header"][f].alias(f) for f in identity]
-    for f in totals:
-        named.append(F.try_element_at(F.filter(F.transform("p", lambda x, f=f: x["header"][f]), lambda v: ~is_blank(v)), F.lit(-1)).alias(f))
+    last = lambda f: F.try_element_at(F.filter(F.transform("p", lambda x: x["header"][f]), lambda v: ~is_blank(v)), F.lit(-1))
+    named += [last(f).alias(f) for f in totals]
     rows = F.flatten(F.transform("p", lambda x: F.coalesce(x["line_items"], F.array().cast(pages.schema["line_items"].dataType))))
     fields = pages.schema["line_items"].dataType.elementType.names
 

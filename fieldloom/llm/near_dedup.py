@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 Each distinct text (its sequence of words) is a node. Its five-word shingles, weighted by
-how often they occur, arrive as Poisson processes; every register keeps the shingle that
+one and the logarithm of how often they occur (so that one line said a hundred times does
+not make two texts alike), arrive as Poisson processes; every register keeps the shingle that
 arrives first, so that two texts agree on a register with the probability Jaccard
 similarity of their shingles. An element stops as soon as its next arrival comes after
 the last register was settled. Bands of registers give buckets; texts of a bucket are
@@ -77,7 +78,7 @@ def prob_minhash(of: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     for i in np.flatnonzero(alone[of]):
         winner[of[i] * registers : (of[i] + 1) * registers] = element[i]
     live = np.flatnonzero(~alone[of])
-    of, element, rate = of[live], element[live], weight[live].astype(np.float64)
+    of, element, rate = of[live], element[live], np.asarray(weight, np.float64)[live]
     time = np.zeros(len(of))
     step = 0
     while len(of):
@@ -103,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             tokens, starts = _tokens(batch.column(1).to_pylist(), numbered)
             of, element, weight = shingles(tokens, starts)
             n = batch.num_rows
-            won = prob_minhash(of, element, weight, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
+            won = prob_minhash(of, element, 1 + np.log(weight), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
             h = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((n, 1), np.uint64)
             for k in range(ROWS):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + won[:, :, k])

@@ -26,7 +26,7 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 5, 6), (0, 2, 3, 5, 8), (0,
 MIN_SPAN, MIN_SHARE_FIFTHS = 12, 4
 #: Hits nearer than GAP tokens form one region; MARGIN tokens on either side go with it.
 GAP, MARGIN = 48, 96
-#: Bits of the seed filter: 64 for each seed, within these bounds (at most 16 MB).
+#: Bits of the seed filter: 512 for each seed, within these bounds (at most 16 MB).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 #: Test seeds up to this number are broadcast (24 bytes each), beyond it joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
@@ -82,7 +82,7 @@ def _token_rows(items: DataFrame) -> DataFrame:
 
 def _filter(seeds: DataFrame, n: int) -> np.ndarray:
     """A bit for each of two halves of a seed's hash. Rows to the driver: one for 64 bits."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (64 * max(n, 1) - 1).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (512 * max(n, 1) - 1).bit_length()))
     halves = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("h")
     at = F.col("h").bitwiseAND(bits - 1)
     words = seeds.select(halves).select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))").alias("b"))

@@ -1,11 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Each distinct text (its sequence of words) is a node. Its five-word shingles, weighted by
-one and the logarithm of how often they occur (so that one line said a hundred times does
-not make two texts alike), arrive as Poisson processes; every register keeps the shingle that
-arrives first, so that two texts agree on a register with the probability Jaccard
-similarity of their shingles. An element stops as soon as its next arrival comes after
-the last register was settled. Bands of registers give buckets; texts of a bucket are
+Each distinct text (its sequence of words) is a node. Its distinct five-word shingles, all
+of weight one (links are decided by the sets, so how often a shingle occurs must not
+count), arrive as Poisson processes; every register keeps the shingle that arrives first,
+so that two texts agree on a register with the probability Jaccard similarity of their
+shingles, at equal weights that of the sets. An element stops as soon as its next arrival
+comes after the last register was settled. Bands of registers give buckets; texts of a bucket are
 linked if the Jaccard similarity of their shingle sets, computed exactly, is 0.8 or more;
 classes are the connected components of the links.
 
@@ -102,9 +102,9 @@ def signatures(docs: DataFrame) -> DataFrame:
         numbered = Numbered(_hashes)
         for batch in slices(batches):
             tokens, starts = _tokens(batch.column(1).to_pylist(), numbered)
-            of, element, weight = shingles(tokens, starts)
+            of, element, _ = shingles(tokens, starts)
             n = batch.num_rows
-            won = prob_minhash(of, element, 1 + np.log(weight), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
+            won = prob_minhash(of, element, np.ones(len(of)), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
             h = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((n, 1), np.uint64)
             for k in range(ROWS):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + won[:, :, k])

@@ -114,6 +114,25 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {x.class_id for x in nd.classes(df).collect()} == {0}
 
 
+def repeated(seed, pairs=60):
+    """Lone pairs of near copies, one of each with a line said a hundred times."""
+    r, docs = random.Random(seed), []
+    for k in range(pairs):
+        w, line = [f"u{k}x{i}" for i in range(120)], [f"l{k}x{i}" for i in range(30)]
+        near = list(w)
+        near[r.randrange(5, 115)] = f"n{k}"
+        docs += [(2 * k, " ".join(w + line * 100)), (2 * k + 1, " ".join(near + line * 2))]
+    return docs
+
+
+def test_pairs_with_other_repeat_counts_are_found(spark):
+    docs = repeated(4)
+    want = brute(docs)
+    assert len(set(want)) == len(docs) // 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == dict(zip((d for d, _ in docs), want))
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in queries.op2_near_dedup(spark, SF).collect()}

@@ -10,9 +10,11 @@ linked if the Jaccard similarity of their shingle sets, computed exactly, is 0.8
 classes are the connected components of the links.
 
 Buckets are never expanded into all their pairs. First every member meets its bucket's
-least member; after those links, only members of different components meet, and where
-that would be more than PAIRS_PER_MEMBER pairs a member, the bucket is first divided by
-agreement on a second band.
+least member; after those links, only members of different components meet. Where that
+would be more than PAIRS_PER_MEMBER pairs a member, blocks of the bucket are linked first,
+so that copies of one text become one component, and the members of all such buckets are
+joined by prefixes: of two sets that are similar enough, the rarest elements, as many as
+the similarity leaves room for, have one in common. No pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices, starts_of
 
 WORDS, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 a pair agrees on no band of five with probability 7e-6, on at
-#: most one (buckets that are divided) with 1e-4.
+#: At a similarity of 0.8 a pair agrees on no band of five with probability 7e-6.
 BANDS, ROWS = 30, 5
 PAIRS_PER_MEMBER = 32
+#: Members and elements in a block of a crowded bucket, elements compared at once.
+BLOCK_MEMBERS, BLOCK_ELEMENTS, BLOCK_COLUMNS = 256, 2_000_000, 20_000
 
 _WORDS = re.compile(r"\w+").findall
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -203,6 +206,60 @@ def _between(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets, from all their intersections."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(n), sizes)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[at] > 1
+    of, at = of[often], np.unique(at[often], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    same = np.zeros((n, n), np.float32)
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK_COLUMNS):
+        lo, hi = np.searchsorted(at, (a, a + BLOCK_COLUMNS))
+        has = np.zeros((n, BLOCK_COLUMNS), np.float32)
+        has[of[lo:hi], at[lo:hi] - a] = 1
+        same += has @ has.T
+    linked = same >= similarity * (sizes[:, None] + sizes[None, :] - same.astype(np.float64)) - 1e-9
+    new, out = np.ones(n, bool), []
+    for root in range(n):
+        todo = [root] if new[root] else []
+        new[root] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & new).tolist()
+            new[found] = False
+            out += [(i, j) for j in found]
+            todo += found
+    return out
+
+
+def _block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links inside blocks of the buckets, a spanning forest of each block."""
+    facts = many.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("size") / BLOCK_ELEMENTS)).alias("blocks"))
+    dealt = many.join(facts, "bucket").select("key", "bucket", F.pmod(F.xxhash64("key", "bucket"), "blocks").alias("block"))
+
+    def link(found: pa.Table) -> pa.Table:
+        keys = found.column("key").combine_chunks()
+        pairs = _forest([x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in found.column("elements").combine_chunks()], similarity)
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.table({"a": keys.take(a), "b": keys.take(b)})
+
+    links = dealt.join(sets, "key").groupBy("bucket", "block").applyInArrow(link, "a binary, b binary")
+    return materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "blocks")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, bucket): the rarest elements of each set as buckets, so many that two
+    sets of that similarity have one in common; those of one set alone are left out."""
+    each = sets.select("key", F.size("elements").alias("size"), F.explode("elements").alias("bucket"))
+    each = each.join(each.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    rare = each.groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("all"))
+    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-6).cast("int") + 1
+    return rare.select("key", "size", F.explode(F.slice("all", F.lit(1), length)).alias("e")).where("e.n > 1").select("key", "size", "e.bucket")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, class_id): class_id is the least doc_id of the class.
 
@@ -218,15 +275,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = materialize(rows.join(heads, "bucket"), "buckets")
     star = rows.where((F.col("key") != F.col("head.key")) & _similar_sizes("size", "head.size", similarity)).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
     edges = _verify(star, docs, nodes, similarity)
-    # between components: buckets of few such pairs as they are, the others divided by a second band
+    # between components: buckets of few such pairs as they are, the members of others by prefixes
     mixed = materialize(_mixed(_labelled(rows.select("bucket", "key", "size"), edges)), "mixed")
-    few = F.col("pairs") <= PAIRS_PER_MEMBER * F.col("n")
-    many = mixed.where(~few).select("bucket", "key", "size", "comp")
-    pairs = _between(mixed.where(few), similarity)
-    if not many.isEmpty():
-        second = many.join(nodes.select("key", "bands"), "key").select("key", "size", "comp", "bucket", F.explode("bands").alias("other")).where("bucket <> other")
-        finer = second.select("key", "size", "comp", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-        pairs = pairs.unionByName(_between(materialize(_mixed(finer), "finer"), similarity)).distinct()
+    crowded = F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")
+    many, few = mixed.where(crowded).select("bucket", "key", "size"), mixed.where(~crowded)
+    if many.isEmpty():
+        pairs = _between(few, similarity)
+    else:
+        sets = materialize(_sets(docs, nodes, many.select("key").distinct()), "crowd")
+        edges = edges.unionByName(_block_links(many, sets, similarity))
+        few = materialize(_mixed(_labelled(few.select("bucket", "key", "size"), edges)), "few")
+        finer = materialize(_mixed(_labelled(_prefixes(sets, similarity), edges)), "finer")
+        pairs = _between(few, similarity).unionByName(_between(finer, similarity)).distinct()
     edges = edges.unionByName(_verify(pairs.join(star, ["a", "b"], "left_anti"), docs, nodes, similarity))
     least = _labelled(nodes.select("key", "doc_id"), edges)
     heads = materialize(least.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "heads")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fieldloom.llm import near_dedup as nd
 from fieldloom.llm import queries
@@ -133,6 +134,28 @@ def test_pairs_with_other_repeat_counts_are_found(spark):
     assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == dict(zip((d for d, _ in docs), want))
 
 
+def test_a_pair_is_found_whose_only_shared_band_is_crowded(spark, monkeypatch):
+    docs = [(d, t) for d, t in repeated(7, 8)] + [(100 + k, " ".join(f"o{k}x{i}" for i in range(150))) for k in range(5)]
+    real = nd.signatures
+    monkeypatch.setattr(nd, "signatures", lambda df: real(df).withColumn("bands", F.array(F.lit(1).cast("long"), F.col("doc_id") + 1000)))
+    monkeypatch.setattr(nd, "PAIRS_PER_MEMBER", 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = dict(zip((d for d, _ in docs), brute(docs)))
+    for members in (256, 1):  # with a block of one member, prefixes alone must find them
+        monkeypatch.setattr(nd, "BLOCK_MEMBERS", members, raising=False)
+        assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == want
+
+
+def test_forest_spans_the_links(monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_COLUMNS", 7)
+    docs = make(3, 70)
+    sets = [np.array(sorted({hash(g) % 2**40 for g in grams(t)}), np.uint64) for _, t in docs]
+    up = list(range(len(docs)))
+    for i, j in nd._forest(sets, 0.8):
+        up = [up[i] if x == up[j] else x for x in up]
+    assert sorted(up.count(x) for x in up) == sorted(brute(docs).count(c) for c in brute(docs))
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in queries.op2_near_dedup(spark, SF).collect()}

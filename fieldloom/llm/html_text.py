@@ -1,11 +1,11 @@
-"""Main text of web pages: structure first, then differencing against the nearest URL.
-
-Markup says of many blocks what they are: those inside an article or main element are
-content, those inside navigation, footers, forms and the like are not. Of the blocks it
-says nothing about, a page loses the ones it shares with the page of its host whose path
-is nearest: their lines are aligned by longest common subsequence and shared lines go.
-Differencing alone would keep menus that differ from page to page and delete paragraphs
-that articles share, so it does not decide where the markup does.
+"""Main text of web pages: differencing against the nearest URL, confirmed by markup.
+
+Every page is compared with the page of its host whose path is nearest: their lines are
+aligned by longest common subsequence, and lines that both have go. Markup confirms or
+vetoes: lines inside an article or main element stay although another page shares them
+(articles share licence lines and greetings), those inside navigation, footers, forms and
+the like never count (menus differ from page to page). Of all other lines, beside a
+content element or on a page without one, differencing decides.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from __future__ import annotations
 import html
 import os.path
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import materialize, slices
+from fieldloom.llm._common import BROADCAST_IDS, materialize, slices
 
-#: Pages with undecided lines in one range of URLs.
+#: Pages with lines in one range of URLs.
 PAGES_PER_RANGE = 20_000
 
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|option|object|canvas|audio|video|xmp"
@@ -52,15 +54,21 @@ SECTIONS = frozenset("html body article main section div nav header footer aside
 
 def blocks(page: str) -> tuple[list[str], list[str], bool]:
     """(content lines, undecided lines, whether there is a content element)."""
-    content: list[str] = []
-    undecided: list[str] = []
+    lines, seen = marked_lines(page)
+    return [x for x, inside in lines if inside], [x for x, inside in lines if not inside], seen
+
+
+def marked_lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    """(lines in order, each with whether it is inside a content element; whether there is
+    such an element)."""
+    lines: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []  # name, and the role inside: 0 undecided, 1 content, 2 aside
     role, seen, here, at = 0, False, [], 0
 
     def flush():
         if here:
             if role != 2 and (line := " ".join(html.unescape("".join(here)).split())):
-                (content if role else undecided).append(line)
+                lines.append((line, role == 1))
             here.clear()
 
     for m in _TOKEN.finditer(page):
@@ -108,13 +116,13 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
     if at < len(page) and role != 2:
         here.append(page[at:])
     flush()
-    return content, undecided, seen
+    return lines, seen
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Positions in ``a`` of one longest common subsequence, a bit of a number for each
     line of ``b``: a zero says that the row's length grows there."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, line in enumerate(b):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(b)) - 1
@@ -135,10 +143,11 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def without_shared(lines: list[str], other: list[str]) -> list[str]:
-    """The lines that the nearest page does not share; all of them if it shares them all."""
-    gone = shared_lines(lines, other)
-    return [x for i, x in enumerate(lines) if i not in gone] or lines
+def lost_lines(lines: list, content: str, other: list) -> list[int]:
+    """Positions of the lines that the nearest page shares and that are not ("1" in
+    ``content``) inside a content element; none if no line would be left."""
+    gone = [i for i in sorted(shared_lines(lines, other)) if content[i] != "1"]
+    return gone if len(gone) < len(lines) else []
 
 
 def _nearest(this: dict, before: dict | None, after: dict | None) -> dict | None:
@@ -148,22 +157,13 @@ def _nearest(this: dict, before: dict | None, after: dict | None) -> dict | None
     return max(near, key=lambda x: len(os.path.commonprefix((x["path"], this["path"]))), default=None)
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in slices(batches, "joined"):
-        yield from batch.to_pylist()
-
-
-def _text_out(texts: list[str]) -> list[pa.Array]:
-    return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row, from its whole html.
 
     Blocks are trimmed, white space in them is one space, and they are joined by a line
-    break. Null or empty html: empty text. A null url stands alone. Pages whose markup
-    decides need no partner; a page alone on its host loses nothing. Repeated rows are each
-    extracted, and a page all of whose lines are shared keeps them.
+    break. Null or empty html: empty text. A null url stands alone; a page alone on its
+    host loses nothing. Repeated rows are each extracted, and a page all of whose lines
+    would go keeps them. Lines are compared by 64 bits of their hash.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
@@ -172,23 +172,29 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            found = [blocks(h) for h in batch.column(4).to_pylist()]
-            texts = ["\n".join(c) if seen else None for c, _, seen in found]
-            lines = ["\n".join(u) if u else None for _, u, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(lines, pa.string())], ["page_id", "url", "host", "path", "text", "joined"])
-
-    parsed = materialize(pages.mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, path string, text string, joined string"), "parsed")
-    decided = F.col("text").isNotNull() | F.col("joined").isNull()
-    settled = parsed.where(decided).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    out = settled.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    n = parsed.where(~decided).count()
-    if not n:
-        return out
+            found = [marked_lines(h)[0] for h in batch.column(4).to_pylist()]
+            texts = pa.array(["\n".join(x for x, _ in f) for f in found], pa.string())
+            hashes = pa.array([[xxhash.xxh64_intdigest(x) - 2**63 for x, _ in f] for f in found], pa.list_(pa.int64()))
+            content = pa.array(["".join("1" if inside else "0" for _, inside in f) for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts, hashes, content], ["page_id", "url", "host", "path", "joined", "lines", "content"])
+
+    parsed = pages.mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, path string, joined string, lines array<long>, content string")
+    parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
+    gone = F.broadcast(lost) if (lost := materialize(_lost(parsed), "lost")).count() <= BROADCAST_IDS else lost
+    left = F.array_join(F.filter(F.split("joined", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = parsed.select("row", "page_id", "url", "joined").join(gone, "row", "left")
+    out = out.select("page_id", "url", F.when(F.col("gone").isNull(), F.col("joined")).otherwise(left).alias("text"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _lost(parsed: DataFrame) -> DataFrame:
+    """(row, gone): positions of the lines that a page loses, of pages that lose any."""
     # ranges of URLs, so that a host with many pages is shared out; each range also gets
     # the last page of the range before and the first of the one after
-    order = ["host", "path", "page_id", "joined"]
-    lined = parsed.where("joined IS NOT NULL").select("page_id", "url", "host", "path", "joined", decided.alias("extra"))
-    ranged = materialize(lined.repartitionByRange(-(-n // PAGES_PER_RANGE), *order).withColumn("bucket", F.spark_partition_id()), "ranged")
+    order = ["host", "path", "page_id", "same"]
+    lined = parsed.where("content <> ''").select("host", "path", "page_id", F.xxhash64("joined").alias("same"), "row", "lines", "content", F.lit(False).alias("extra"))
+    n = lined.count()
+    ranged = materialize(lined.repartitionByRange(max(1, -(-n // PAGES_PER_RANGE)), *order).withColumn("bucket", F.spark_partition_id()), "ranged")
     used = sorted(r.bucket for r in ranged.select("bucket").distinct().toLocalIterator())
     following = dict(zip(used, used[1:]))
     ends = ranged.groupBy("bucket").agg(*[f(F.struct(*ranged.columns), F.struct(*order)).alias(k) for k, f in (("first", F.min_by), ("last", F.max_by))])
@@ -202,39 +208,24 @@ def extract(pages: DataFrame) -> DataFrame:
         done: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], id_type), pa.array([d[1] for d in done], pa.string()), *_text_out([d[2] for d in done])], ["page_id", "url", "text", "n_chars"])
+            made = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], ["row", "gone"])
             done.clear()
             return made
 
         before = this = None
-        id_type = pa.int64()
-        for row in _chain(batches):
-            if isinstance(row, pa.DataType):
-                id_type = row
-                continue
-            if this is not None and not this["extra"]:
-                done.append(_differed(this, before, row))
-                if len(done) >= 1000:
+        for after in chain((row for b in batches for row in b.to_pylist()), (None,)):
+            if this is not None and not this["extra"] and (gone := _differed(this, before, after)):
+                done.append((this["row"], gone))
+                if len(done) >= 10_000:
                     yield batch()
-            before, this = this, row
-        if this is not None and not this["extra"]:
-            done.append(_differed(this, before, None))
+            before, this = this, after
         if done:
             yield batch()
 
-    return out.unionByName(alike.mapInArrow(differ, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"))
-
-
-def _chain(batches: Iterable[pa.RecordBatch]) -> Iterator:
-    """The type of page_id, then the rows."""
-    for k, batch in enumerate(batches):
-        if not k:
-            yield batch.schema.field("page_id").type
-        yield from _rows([batch])
+    return alike.mapInArrow(differ, "row long, gone array<int>")
 
 
-def _differed(this: dict, before: dict | None, after: dict | None) -> tuple:
-    lines = this["joined"].split("\n")
-    if this["url"] is not None and (other := _nearest(this, before, after)):
-        lines = without_shared(lines, other["joined"].split("\n"))
-    return this["page_id"], this["url"], "\n".join(lines)
+def _differed(this: dict, before: dict | None, after: dict | None) -> list[int]:
+    if this["host"] is None or "0" not in this["content"] or not (other := _nearest(this, before, after)):
+        return []
+    return lost_lines(this["lines"], this["content"], other["lines"])

@@ -65,6 +65,14 @@ def test_differencing_finds_the_nearest_url(spark, monkeypatch):
     assert t.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_beside_a_content_element(spark):
+    page = lambda k: f"<div>Shop news</div><article><p>Teaser {k}<p>Licence</article><div>Body text {k}</div><div>Contact us</div>"
+    rows = [(k, f"http://x.example.org/{k}", page(k)) for k in range(6)] + [(9, "http://alone.example.org/", page(9))]
+    got = {r.page_id: r.text for r in t.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.pop(9) == "Shop news\nTeaser 9\nLicence\nBody text 9\nContact us"
+    assert got == {k: f"Teaser {k}\nLicence\nBody text {k}" for k in range(6)}
+
+
 def test_query_on_the_pages(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op5_html_text(spark, SF).collect()

@@ -39,3 +39,16 @@ def test_align_two_runs_covers_every_document(spark):
         sides.append(docs)
     want = Counter(n for doc in sides[1] for n in aligned(sides[0].get(doc, []), sides[1][doc]))
     assert {r["pass"]: r.n for r in texts.align_two_runs(spark, SF).collect()} == want
+
+
+def test_fuzzy_names_finds_the_best_of_all_others(spark, tmp_path):
+    parts = [(1, "red steel bolt", "B1", 5), (2, "blue steel bolts", "B1", 5), (3, "red steel bolts", "B1", 5), (4, "red steel bolt", "B2", 5), (5, "x", "B1", 5), (6, "green brass nuts", "B1", 6), (7, "green brass nut", "B1", 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for k, name, *block in parts:
+        near = [round(100 * indel_similarity(name, o), 4) for j, o, *b in parts if j != k and b == block]
+        if near and max(near) >= 60:
+            want[k] = max(near)
+    assert set(want) == {1, 2, 3, 6, 7}
+    got = {r.p_partkey: r.ratio for r in texts.fuzzy_names(spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in want} == want

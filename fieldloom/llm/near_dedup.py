@@ -9,16 +9,20 @@ comes after the last register was settled. Bands of registers give buckets; text
 linked if the Jaccard similarity of their shingle sets, computed exactly, is 0.8 or more;
 classes are the connected components of the links.
 
-Buckets are never expanded into all their pairs. First every member meets its bucket's
-least member; after those links, only members of different components meet. Where that
-would be more than PAIRS_PER_MEMBER pairs a member, blocks of the bucket are linked first,
-so that copies of one text become one component, and the members of all such buckets are
-joined by prefixes: of two sets that are similar enough, the rarest elements, as many as
-the similarity leaves room for, have one in common. No pair of a bucket is left out.
+Buckets are never expanded into all their pairs. First every member meets its bucket's hub,
+the member that shares most buckets with others; after those links, only members of
+different components meet. Where that would be more than PAIRS_PER_MEMBER pairs a member,
+blocks of the bucket are linked first, so that copies of one text become one component, and
+the members of all such buckets meet by prefixes: of two sets that are similar enough, the
+first common element, rarest first, stands so early in both that what follows it can still
+make up the similarity. How early, says at the same time which sizes a partner may have;
+members only meet on an element if each has a size that the other allows. No pair of a
+bucket is left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +41,10 @@ BANDS, ROWS = 30, 5
 PAIRS_PER_MEMBER = 32
 #: Members and elements in a block of a crowded bucket, elements compared at once.
 BLOCK_MEMBERS, BLOCK_ELEMENTS, BLOCK_COLUMNS = 256, 2_000_000, 20_000
+#: Classes of set sizes between a size and ``similarity`` times it.
+SIZE_CLASSES = 12
+#: Bits of the filter that holds the repeated buckets (16 MB whatever the table's size).
+FILTER_BITS = 1 << 27
 
 _WORDS = re.compile(r"\w+").findall
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -119,8 +127,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, size int, bands array<long>")
 
 
+def _packed(elements: np.ndarray) -> np.ndarray:
+    """Five bytes for each 40-bit element."""
+    return np.ascontiguousarray(elements).view(np.uint8).reshape(-1, 8)[:, :5].ravel()
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    raw = np.zeros((len(packed) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return raw.view(np.uint64).ravel()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
-    """(key, elements): sorted shingle hashes of the nodes involved, from their documents."""
+    """(key, elements): sorted shingle hashes, packed, of the nodes involved, from their documents."""
     ids = nodes.join(involved, "key", "left_semi").select("doc_id").distinct()
     texts = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi").select("text")
 
@@ -129,30 +148,29 @@ def _sets(docs: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
         for batch in slices(batches):
             tokens, starts = _tokens(batch.column(0).to_pylist(), numbered)
             of, element, _ = shingles(tokens, starts)
-            cuts = starts_of(np.bincount(of, minlength=batch.num_rows))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(element.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(tokens, starts), pa.binary()), lists], ["key", "elements"])
+            cuts = starts_of(np.bincount(of, minlength=batch.num_rows)) * 5
+            body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(_packed(element))])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(tokens, starts), pa.binary()), body], ["key", "elements"])
 
-    return texts.mapInArrow(run, "key binary, elements array<long>").where("key IS NOT NULL").dropDuplicates(["key"])
+    return texts.mapInArrow(run, "key binary, elements binary").where("key IS NOT NULL").dropDuplicates(["key"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, sets: DataFrame | None = None) -> DataFrame:
     """The (a, b) of ``pairs`` whose shingle sets are at least that similar."""
     pairs = materialize(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = materialize(_sets(docs, nodes, involved), "sets")
+    if sets is None:
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = materialize(_sets(docs, nodes, involved), "sets")
     left, right = (sets.select(F.col("key").alias(k), F.col("elements").alias(f"s{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for i in range(batch.num_rows):
-                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
-                y = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                z = np.sort(np.concatenate((x, y)), kind="stable")
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                z = np.sort(np.concatenate((unpacked(x), unpacked(y))), kind="stable")
                 same = int((z[1:] == z[:-1]).sum())
-                if same >= similarity * (len(x) + len(y) - same) - 1e-9:
+                if same >= similarity * (len(z) - same) - 1e-9:
                     kept.append(i)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
@@ -242,7 +260,7 @@ def _block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     def link(found: pa.Table) -> pa.Table:
         keys = found.column("key").combine_chunks()
-        pairs = _forest([x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in found.column("elements").combine_chunks()], similarity)
+        pairs = _forest([unpacked(x) for x in found.column("elements").to_pylist()], similarity)
         a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
         return pa.table({"a": keys.take(a), "b": keys.take(b)})
 
@@ -250,14 +268,71 @@ def _block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "blocks")
 
 
+def _size_class(size, similarity: float):
+    return F.floor(F.log(size.cast("double")) * (SIZE_CLASSES / -math.log(similarity)) + 1e-9).cast("int")
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, size, bucket): the rarest elements of each set as buckets, so many that two
-    sets of that similarity have one in common; those of one set alone are left out."""
-    each = sets.select("key", F.size("elements").alias("size"), F.explode("elements").alias("bucket"))
-    each = each.join(each.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    rare = each.groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("all"))
-    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-6).cast("int") + 1
-    return rare.select("key", "size", F.explode(F.slice("all", F.lit(1), length)).alias("e")).where("e.n > 1").select("key", "size", "e.bucket")
+    """(key, size, bucket, most): the elements of each set, rarest first, at which a similar
+    enough set may first agree with it, as buckets, and the greatest size such a set may
+    have. With ``at`` elements before it, at most size - at are common, so that the sizes
+    of both add up to (1 + similarity) / similarity times that at most. Elements of one
+    set alone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [unpacked(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in lists], dtype=np.int64)
+            of = pa.array(np.repeat(np.arange(len(lists)), sizes))
+            flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(flat)], ["key", "size", "bucket"])
+
+    each = sets.select("key", "elements").mapInArrow(run, "key binary, size int, bucket long")
+    often = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(often, "bucket")
+    # elements of one set alone come first in its order, and are only counted
+    rare = shared.groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("all"))
+    place = F.posexplode(F.slice("all", F.lit(1), F.greatest(F.floor(F.col("size") * (1 - similarity) + 1e-6).cast("int") + 1 - (F.col("size") - F.size("all")), F.lit(0))))
+    placed = rare.select("key", "size", (F.col("size") - F.size("all")).alias("alone"), place.alias("i", "e"))
+    most = F.floor((1 + similarity) / similarity * (F.col("size") - F.col("alone") - F.col("i")) - F.col("size") + 1e-6).cast("int")
+    return placed.select("key", "size", "e.bucket", F.least(most, F.floor(F.col("size") / similarity + 1e-6).cast("int")).alias("most"))
+
+
+def _meeting(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs between different components that agree on an element of both prefixes and
+    have sizes that each other's place of it allows; of each element's largest component
+    only the others are sought."""
+    home = rows.select("bucket", F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"), F.col("most").alias("mb"), "big", _size_class(F.col("size"), similarity).alias("class"))
+    least = F.greatest(F.ceil(F.col("size") * similarity - 1e-6).cast("int"), F.lit(1))
+    seek = rows.where((F.col("comp") != F.col("big")) & (F.col("most") >= least))
+    seek = seek.select("bucket", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("most").alias("ma"), F.explode(F.sequence(_size_class(least, similarity), _size_class(F.col("most"), similarity))).alias("class"))
+    met = seek.join(home, ["bucket", "class"]).where("ca <> cb AND (cb = big OR a < b) AND nb <= ma AND na <= mb").where(_similar_sizes("na", "nb", similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _repeated(nodes: DataFrame) -> DataFrame:
+    """(key, size, bucket, n): the buckets of more than one node. Their counts make a filter
+    of fixed size, so that the many buckets of one node are not shuffled with their keys."""
+    counts = nodes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(counts, "repeated")
+    at = F.col("bucket").bitwiseAND(FILTER_BITS - 1)
+    words = counts.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 as int))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    shared = nodes.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            bands = batch.column(2)
+            flat = bands.flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))
+            at = flat & (FILTER_BITS - 1)
+            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            rows = pa.array(of[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[hit])], ["key", "size", "bucket"])
+
+    return nodes.select("key", "size", "bands").mapInArrow(run, "key binary, size int, bucket long").join(counts, "bucket")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -270,23 +345,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = materialize(signatures(docs), "signatures")
     some = found.where("key IS NOT NULL")
     nodes = materialize(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "nodes")
-    rows = nodes.select("key", "size", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("key", "size")).alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    rows = materialize(rows.join(heads, "bucket"), "buckets")
-    star = rows.where((F.col("key") != F.col("head.key")) & _similar_sizes("size", "head.size", similarity)).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
+    rows = materialize(_repeated(nodes), "buckets")
+    reach = rows.groupBy("key").agg(F.sum("n").alias("reach"))
+    hubs = rows.join(reach, "key").groupBy("bucket").agg(F.max_by(F.struct("key", "size"), F.struct("reach", "key")).alias("head"))
+    star = rows.join(hubs, "bucket").where((F.col("key") != F.col("head.key")) & _similar_sizes("size", "head.size", similarity))
+    star = materialize(star.select(F.least("head.key", "key").alias("a"), F.greatest("head.key", "key").alias("b")).distinct(), "star")
     edges = _verify(star, docs, nodes, similarity)
     # between components: buckets of few such pairs as they are, the members of others by prefixes
     mixed = materialize(_mixed(_labelled(rows.select("bucket", "key", "size"), edges)), "mixed")
     crowded = F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")
     many, few = mixed.where(crowded).select("bucket", "key", "size"), mixed.where(~crowded)
-    if many.isEmpty():
-        pairs = _between(few, similarity)
-    else:
+    if not many.isEmpty():
         sets = materialize(_sets(docs, nodes, many.select("key").distinct()), "crowd")
         edges = edges.unionByName(_block_links(many, sets, similarity))
-        few = materialize(_mixed(_labelled(few.select("bucket", "key", "size"), edges)), "few")
         finer = materialize(_mixed(_labelled(_prefixes(sets, similarity), edges)), "finer")
-        pairs = _between(few, similarity).unionByName(_between(finer, similarity)).distinct()
+        pairs = _meeting(finer, similarity).join(star, ["a", "b"], "left_anti")
+        edges = materialize(edges.unionByName(_verify(pairs, docs, nodes, similarity, sets)), "edges")
+        few = materialize(_mixed(_labelled(few.select("bucket", "key", "size"), edges)), "few")
+    pairs = _between(few, similarity)
     edges = edges.unionByName(_verify(pairs.join(star, ["a", "b"], "left_anti"), docs, nodes, similarity))
     least = _labelled(nodes.select("key", "doc_id"), edges)
     heads = materialize(least.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "heads")

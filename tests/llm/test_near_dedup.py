@@ -146,6 +146,33 @@ def test_a_pair_is_found_whose_only_shared_band_is_crowded(spark, monkeypatch):
         assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == want
 
 
+def test_a_group_of_copies_near_and_less_near(spark, monkeypatch):
+    """Members of one template, many of them linked to no other; single blocks, so that
+    prefixes alone find what the hub does not reach."""
+    r = random.Random(21)
+    base = [f"t{k}" for k in range(130)]
+    docs = []
+    for k in range(260):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 3, 4, 5, 6, 8))):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((0, 1, 1, 2))] = r.choice(([], [f"x{r.randrange(40)}"], [f"x{k}"]))
+        docs.append((k, " ".join(w)))
+    want = dict(zip((d for d, _ in docs), brute(docs)))
+    assert 20 < len(set(want.values())) < 240
+    monkeypatch.setattr(nd, "PAIRS_PER_MEMBER", 0)
+    monkeypatch.setattr(nd, "BLOCK_MEMBERS", 1)
+    real = nd.signatures  # one bucket holds all, so that banding misses nothing
+    monkeypatch.setattr(nd, "signatures", lambda df: real(df).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in nd.classes(df).collect()} == want
+
+
+def test_packing():
+    x = np.array([0, 1, 2**40 - 1, 123456789012], np.uint64)
+    assert nd.unpacked(nd._packed(x).tobytes()).tolist() == x.tolist()
+
+
 def test_forest_spans_the_links(monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_COLUMNS", 7)
     docs = make(3, 70)

@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm._common import BROADCAST_IDS, materialize, slices
 
-#: Pages with lines in one range of URLs.
-PAGES_PER_RANGE = 20_000
+#: Pages with lines in one range of URLs; bits of a table of two pages' lines (8 MB).
+PAGES_PER_RANGE, TABLE_BITS = 20_000, 1 << 26
 
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|option|object|canvas|audio|video|xmp"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|option|object|canvas|audio|video|xmp"
 _TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:\s[^>\"']*+|\"[^\"]*+\"|'[^']*+'|[^>\"'\s])*+)>|<[!?/][^>]*+>|<(/?)([a-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.I | re.S,
 )
+_XMP = re.compile(r"\A<[^>]*>|</xmp\s*>\Z", re.I)
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMES = re.compile(r"[^\s\"']+").findall
 _PARTS = re.compile(r"[a-z]+").findall
 
 CONTENT = frozenset({"article", "main"})
@@ -43,15 +46,31 @@ MARKS = frozenset(
     "sidebar footer cookie cookies consent notice notices notification alert popup modal overlay comment comments reply replies disqus share sharing "
     "social related recommended newsletter subscribe subscription signup login search pagination widget toolbar masthead topbar".split()
 )
+#: Words that say nothing beside a mark. A name with any other word is not a mark: ad-hoc,
+#: has-sidebar, comments-open and search-results are about the article.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons col column container content div element footer fixed form global group header holder icons inner item items "
+    "js left link links list main outer page panel primary region right secondary section site slot sticky top ul unit wrap wrapper".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not part words: everything else ends a block.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meta link nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
+    "a abbr acronym math mi mn mo ms mtext mrow msub msup mfrac msqrt b bdi bdo big br cite code data del dfn em font i img ins kbd mark meta link nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
 )
 #: An end tag of anything else does not reach beyond the nearest of these.
 SECTIONS = frozenset("html body article main section div nav header footer aside form dialog menu table ul ol dl blockquote figure fieldset td th".split())
 
 
+def _marked(attributes: str) -> bool:
+    """Whether a class, id or role is made of marks and neutral words only."""
+    for value in _LABEL.findall(attributes):
+        for name in _NAMES(value.lower()):
+            parts = _PARTS(name)
+            if not MARKS.isdisjoint(parts) and all(x in MARKS or x in NEUTRAL for x in parts):
+                return True
+    return False
+
+
 def blocks(page: str) -> tuple[list[str], list[str], bool]:
     """(content lines, undecided lines, whether there is a content element)."""
     lines, seen = marked_lines(page)
@@ -78,6 +97,10 @@ def marked_lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
         at = b
         name = m.group(3) or m.group(6)
         if name is None:
+            if (m.group(1) or "").lower() == "xmp" and role != 2:  # its text is not markup
+                flush()
+                here.append(html.escape(_XMP.sub("", m.group(0))))
+                flush()
             continue
         name = name.lower()
         if m.group(2) or m.group(5):
@@ -104,7 +127,7 @@ def marked_lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
             attrs = m.group(4) or m.group(7) or ""
             if name in ASIDE or (name == "header" and role != 1):
                 inside = 2
-            elif attrs and name not in ("body", "html") and any(not MARKS.isdisjoint(_PARTS(x.lower())) for x in _LABEL.findall(attrs)):
+            elif attrs and name not in ("body", "html") and _marked(attrs):
                 inside = 2
             elif name in CONTENT:
                 inside, seen = 1, True
@@ -119,18 +142,43 @@ def marked_lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
     return lines, seen
 
 
-def shared_lines(a: list, b: list) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence, a bit of a number for each
-    line of ``b``: a zero says that the row's length grows there."""
+def _growth(a: list, b: list) -> Iterator[int]:
+    """For each beginning of ``a`` a bit for each line of ``b``: a zero says that the longest
+    common subsequence grows there."""
     where: dict = {}
     for j, line in enumerate(b):
         where[line] = where.get(line, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
+    v = full = (1 << len(b)) - 1
     for line in a:
         u = v & where.get(line, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """How long the longest common subsequence of ``a`` with each beginning of ``b`` is."""
+    v = (1 << len(b)) - 1
+    for v in _growth(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def shared_lines(a: list, b: list) -> set[int]:
+    """Positions in ``a`` of one longest common subsequence. Pages whose table would take
+    more than TABLE_BITS are halved first, at a line where the halves' lengths add up."""
+    common = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in common]
+    a, b = [a[i] for i in at], [x for x in b if x in common]
+    if len(a) * len(b) <= TABLE_BITS or len(a) < 2:
+        return {at[i] for i in _traced(a, b)}
+    half = len(a) // 2
+    cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return {at[i] for i in shared_lines(a[:half], b[:cut])} | {at[half + i] for i in shared_lines(a[half:], b[cut:])}
+
+
+def _traced(a: list, b: list) -> set[int]:
+    rows = list(_growth(a, b))
     out, i, j = set(), len(a) - 1, len(b) - 1
     while i >= 0 and j >= 0:
         if rows[i] >> j & 1:
@@ -163,7 +211,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Blocks are trimmed, white space in them is one space, and they are joined by a line
     break. Null or empty html: empty text. A null url stands alone; a page alone on its
     host loses nothing. Repeated rows are each extracted, and a page all of whose lines
-    would go keeps them. Lines are compared by 64 bits of their hash.
+    would go keeps them (a copy of another page is still an article). Of neighbours whose
+    paths agree alike the one before is the nearest. Lines are compared by 64 bits of their
+    hash; very long pages are read and aligned whole, in memory linear in their lines.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

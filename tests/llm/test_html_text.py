@@ -27,6 +27,22 @@ def test_blocks():
     assert t.blocks("<p>" * 30_000 + "x") == ([], ["x"], False)
 
 
+def test_names_that_only_hold_a_mark_lose_no_article():
+    for page in (
+        '<div class="content has-sidebar"><article><p>Kept</article></div>',
+        '<article class="post comments-open"><p>Kept</article>',
+        '<div id="search-results"><article><p>Kept</article></div>',
+        '<article><p class="ad-hoc">Kept</article>',
+        '<article><p class="social-history">Kept</article>',
+        '<article><xmp>Kept</xmp></article>',
+        '<article><p><math><mi>Ke</mi><mi>pt</mi></math></article>',
+    ):
+        assert t.blocks(page)[0] == ["Kept"], page
+    assert t.blocks("<article><xmp>a <b>&amp; c</xmp>d</article>")[0] == ["a <b>&amp; c", "d"]
+    for name in ("ad", "AD-slot", "cookie-notice", "share_buttons", "x sidebar", "comment-list", "newsletter-box"):
+        assert t.blocks(f'<article><p>Kept</p><div class="{name}">no</div></article>')[0] == ["Kept"], name
+
+
 def lcs(a, b):
     m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
@@ -35,9 +51,10 @@ def lcs(a, b):
     return m[-1][-1]
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch):
     r = random.Random(0)
-    for _ in range(400):
+    for n in range(400):
+        monkeypatch.setattr(t, "TABLE_BITS", 9 if n % 2 else 1 << 26)
         a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
         got = sorted(t.shared_lines(a, b))
         assert len(got) == lcs(a, b)
@@ -65,6 +82,20 @@ def test_differencing_finds_the_nearest_url(spark, monkeypatch):
     assert t.extract(df.limit(0)).count() == 0
 
 
+def test_an_article_that_another_page_shares_stays(spark):
+    page = "<div>Shop news</div><article><p>Same story</article><p class=comment>no</p>"
+    rows = [(k, f"http://x.example.org/{k}", page) for k in range(3)]
+    got = [r.text for r in t.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert got == ["Same story"] * 3
+
+
+def test_a_very_long_page(spark):
+    lines = [f"<p>line {k % 700}" for k in range(9_000)]
+    rows = [(0, "http://x.example.org/a", "".join(lines)), (1, "http://x.example.org/b", "".join(lines[::-1]) + "<p>own")]
+    got = {r.page_id: r.text.split("\n") for r in t.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1][-1] == "own" and 0 < len(got[1]) < 9_001
+
+
 def test_differencing_decides_beside_a_content_element(spark):
     page = lambda k: f"<div>Shop news</div><article><p>Teaser {k}<p>Licence</article><div>Body text {k}</div><div>Contact us</div>"
     rows = [(k, f"http://x.example.org/{k}", page(k)) for k in range(6)] + [(9, "http://alone.example.org/", page(9))]

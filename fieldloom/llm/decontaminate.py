@@ -24,8 +24,9 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 5, 6), (0, 2, 3, 5, 8), (0,
 #: An overlap counts from MIN_SPAN tokens (or the whole passage, if that is shorter) of
 #: which at least MIN_SHARE are equal.
 MIN_SPAN, MIN_SHARE_FIFTHS = 12, 4
-#: Hits nearer than GAP tokens form one region; MARGIN tokens on either side go with it.
-GAP, MARGIN = 48, 96
+#: Hits nearer than GAP tokens form one region. As many tokens as the longest passage has
+#: go with it on either side, so that a passage is verified on the whole of its diagonal.
+GAP = 48
 #: Bits of the seed filter: 512 for each seed, within these bounds (at most 16 MB).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 #: Test seeds up to this number are broadcast (24 bytes each), beyond it joined by a shuffle.
@@ -101,7 +102,7 @@ def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return maybe[has(h[maybe] >> np.uint64(32)) == 1]
 
 
-def _regions(docs: DataFrame, shared, masks) -> DataFrame:
+def _regions(docs: DataFrame, shared, masks, margin: int) -> DataFrame:
     """Stretches of documents around possible hits, with the hits in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +123,26 @@ def _regions(docs: DataFrame, shared, masks) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > GAP) | (np.diff(of) > 0))))
             last = np.concatenate((first[1:], [len(at)]))
             doc = of[first]
-            lo = np.maximum(at[first] - MARGIN, starts[doc])
-            hi = np.minimum(at[last - 1] + MARGIN, starts[doc + 1])
+            lo = np.maximum(at[first] - margin, starts[doc])
+            hi = np.minimum(at[last - 1] + margin, starts[doc + 1])
             cut = pa.array(starts_of(last - first), pa.int32())
             hits = pa.StructArray.from_arrays([pa.array(hs.view(np.int64)), pa.array((at - np.repeat(lo, last - first)).astype(np.int32))], ["hash", "pos"])
+            row = np.array([xxhash.xxh3_64_intdigest(tokens[starts[i] : starts[i + 1]].tobytes()) for i in doc.tolist()], np.uint64)
             body = np.concatenate([tokens[a:b] for a, b in zip(lo, hi)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc)),
+                    pa.array(row.view(np.int64)),  # tells rows of one doc_id apart
                     pa.array((at[first] - starts[doc]).astype(np.int32)),  # margins of two regions may begin alike
                     pa.array((lo - starts[doc]).astype(np.int32)),
                     pa.ListArray.from_arrays(cut, hits),
                     pa.ListArray.from_arrays(pa.array(starts_of(hi - lo), pa.int32()), pa.array(body)),
                 ],
-                ["doc_id", "region", "begin", "hits", "stretch"],
+                ["doc_id", "row", "region", "begin", "hits", "stretch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, region int, begin int, hits array<struct<hash:long,pos:int>>, stretch array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, region int, begin int, hits array<struct<hash:long,pos:int>>, stretch array<long>")
 
 
 def longest_span(equal: np.ndarray, fifths: int = MIN_SHARE_FIFTHS) -> tuple[int, int, int]:
@@ -164,8 +167,10 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
     document and test passage. ``begin`` is the token of the document it starts at.
 
     Tokens are the words of the lower-cased text. Passages under five tokens and null or
-    empty texts have no seeds and match nothing; a repeated row counts once. Only
-    (doc_id, text) and (item_id, text) are read.
+    empty texts have no seeds and match nothing; a repeated row counts once. Very long texts
+    are read whole, and a passage is held against all of the document that it may cover. Of
+    overlaps of one length the one with more equal tokens counts, then the first. Ids may be
+    of any type that can be ordered; only (doc_id, text) and (item_id, text) are read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -174,13 +179,16 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
     n = seeds.count()
     small = F.broadcast if n <= BROADCAST_SEEDS else (lambda df: df)
     shared = spark.sparkContext.broadcast(_filter(seeds, n))
-    regions = materialize(_regions(docs, shared, masks), "regions")
-    hits = regions.select("doc_id", "region", F.explode("hits").alias("hit")).select("doc_id", "region", "hit.*")
-    found = hits.join(small(seeds), "hash").select("doc_id", "region", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    lists = found.groupBy("doc_id", "region").agg(F.collect_set(F.struct("item_id", "shift")).alias("found"))
-    both = lists.alias("f").join(regions.alias("r"), F.expr("f.doc_id <=> r.doc_id and f.region = r.region"))
-    each = both.select("r.doc_id", "r.begin", "r.stretch", F.explode("found").alias("at")).select("doc_id", "begin", "stretch", "at.*")
-    each = each.alias("e").join(small(_token_rows(items)).alias("i"), F.expr("e.item_id <=> i.item_id"))
+    passages = materialize(_token_rows(items), "passages")
+    longest = passages.agg(F.max(F.size("passage"))).first()[0] or 0
+    regions = materialize(_regions(docs, shared, masks, longest), "regions")
+    hits = regions.select("doc_id", "row", "region", "begin", F.explode("hits").alias("hit")).select("doc_id", "row", "region", "begin", "hit.*")
+    found = hits.join(small(seeds), "hash").select("doc_id", "row", "region", "item_id", (F.col("pos") - F.col("at")).alias("shift"), (F.col("begin") + F.col("pos") - F.col("at")).alias("diagonal"))
+    # a diagonal is verified once, whichever of its regions it was hit in
+    found = found.groupBy("doc_id", "row", "item_id", "diagonal").agg(F.min(F.struct("region", "shift")).alias("at")).select("doc_id", "row", "item_id", "at.*")
+    each = found.alias("f").join(regions.alias("r"), F.expr("f.doc_id <=> r.doc_id and f.row = r.row and f.region = r.region"))
+    each = each.select("r.doc_id", "item_id", "begin", "shift", "stretch")
+    each = each.alias("e").join(small(passages).alias("i"), F.expr("e.item_id <=> i.item_id"))
     each = each.select("doc_id", "e.item_id", "begin", "shift", "stretch", "passage")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +211,14 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
 
     ids = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((docs, "doc_id"), (items, "item_id"))]
     checked = each.mapInArrow(verify, f"{', '.join(ids)}, begin int, span int, matched int")
-    longest = F.max_by(F.struct("begin", "span", "matched"), F.struct("span", "matched", -F.col("begin"))).alias("best")
-    return checked.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "best.*")
+    best = F.max_by(F.struct("begin", "span", "matched"), F.struct("span", "matched", -F.col("begin"))).alias("best")
+    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document row: doc_id, contaminated, n_items, and the longest
     overlap (item_id, span, matched; nulls where clean; ties to the lower item_id)."""
-    best = F.max_by(F.struct("item_id", "span", "matched"), F.struct("span", "matched", -F.col("item_id").cast("double")))
+    best = F.min_by(F.struct("item_id", "span", "matched"), F.struct(-F.col("span"), -F.col("matched"), "item_id"))
     by_doc = overlaps(docs, items).groupBy("doc_id").agg(F.count("*").alias("n_items"), best.alias("best"))
     both = docs.select("doc_id").alias("d").join(by_doc.alias("o"), F.expr("d.doc_id <=> o.doc_id"), "left")
     return both.select(

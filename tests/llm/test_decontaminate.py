@@ -80,6 +80,35 @@ def test_against_brute_force(spark):
     assert d.report(a.limit(0), b).count() == 0 and d.overlaps(a, b.limit(0)).count() == 0
 
 
+def test_overlaps_are_those_of_the_whole_texts(spark):
+    """Begin, span and matched against every diagonal of whole texts: an overlap with long
+    changed stretches, several regions, text ids, ties and a very long document."""
+    r = random.Random(8)
+    vocab = [f"v{k}" for k in range(3000)]
+    passage = r.choices(vocab, k=400)
+    changed = passage[:170] + ["zz"] * 60 + passage[170 + 60 :]
+    items = [("q-1", " ".join(passage)), ("q-2", " ".join(passage)), ("q-3", " ".join(r.choices(vocab, k=15)))]
+    docs = [("a", " ".join(changed)), ("b", " ".join(["pad"] * 700 + changed + ["pad"] * 300)), ("c", " ".join(passage[:30] + ["x"] * 90 + words(items[2][1])))]
+    docs += [("long", " ".join(r.choices(vocab, k=30_000) + passage)), ("c", "other row " + items[2][1]), ("b", " ".join(["pad"] * 700 + passage[:40]))]
+    want = {}
+    for i, t in docs:
+        w = words(t)
+        for j, p in items:
+            q = words(p)
+            for s in range(-len(q) + 1, len(w)) if len(w) < 2000 else (len(w) - len(q),):
+                lo, hi = max(0, -s), min(len(q), len(w) - s)
+                x, y, m = d.longest_span(np.array([w[s + k] == q[k] for k in range(lo, hi)], dtype=bool))
+                if y - x >= d.MIN_SPAN:
+                    best = want.get((i, j))
+                    this = (y - x, m, -(s + lo + x))
+                    want[i, j] = max(best or this, this)
+    a = spark.createDataFrame(docs, "doc_id string, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = {(x.doc_id, x.item_id): (x.span, x.matched, -x.begin) for x in d.overlaps(a, b).collect()}
+    assert got == want and got["a", "q-1"] == (400, 340, 0)
+    assert {(x.doc_id, x.item_id, x.n_items) for x in d.report(a, b).collect()} == {("a", "q-1", 2), ("b", "q-1", 2), ("c", "q-1", 3), ("long", "q-1", 2)}
+
+
 def test_shuffled_path_gives_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
     want = sorted(map(tuple, d.report(docs, items).collect()))

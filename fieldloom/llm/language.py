@@ -9,26 +9,40 @@ word's label probabilities, and a text's language is the one with the most of th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, by_ids, crc_mod, keyed_text, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, crc_mod, keyed_text, mix64, slices, starts_of
 
-#: Labelled rows at most for the fit (a bounded sample, lowest crc32 of the id first),
-#: and the words taken from each of them.
-FIT_ROWS, FIT_WORDS = 4_000, 120
+#: Labelled rows of each language at most for the fit (a bounded sample, lowest crc32 of
+#: the id first); their texts are used whole.
+FIT_ROWS = 1_000
 #: Hash buckets of the n-gram features; words in the lexicon at most.
 BUCKETS, LEXICON = 1 << 16, 20_000
-#: Passes over the training sequences, words in a sequence, step and L2.
-EPOCHS, SEQUENCE, STEP, L2 = 6, 24, 0.5, 1e-6
+#: Gradient steps, sequences drawn for each, words in one, step size and L2.
+STEPS, DRAWN, SEQUENCE, STEP, L2 = 240, 256, 24, 0.5, 1e-6
 UNKNOWN = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: A word: a letter, then letters and combining marks. Where every character is one of the
+#: plain ranges, which hold no marks and no numerals but digits, the faster pattern says the same.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_PLAIN = re.compile(r"[\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u2010-\u2027\u2030-\u205e]*").fullmatch
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case; the same in fitting and in prediction."""
+    text = text.lower()
+    return (_RUNS if _PLAIN(text) else _LETTERS)(text)
 
 
 @dataclass
@@ -108,55 +122,58 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.nd
 
 
 def training_rows(docs: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = FIT_ROWS) -> DataFrame:
-    """The first words of the labelled rows to fit on: non-null lang and text, not held out.
-
-    Only this sample is cut; prediction reads whole texts."""
+    """(lang, words) of the labelled rows to fit on, whole texts: non-null lang and text, not
+    held out, of each language the ``rows`` lowest by crc32 of the id, so that none is missing."""
     usable = docs.where((crc_mod(F.col("doc_id"), modulus) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    ids = usable.select(crc.alias("c"), F.col("doc_id").alias("__id")).orderBy("c", "__id").limit(rows).select("__id").distinct()
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), 1, FIT_WORDS)
-    picked = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return picked.select("lang", words.alias("words")).orderBy("lang", "words")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("c", "__id"))
+    ids = usable.select("lang", crc.alias("c"), F.col("doc_id").alias("__id")).withColumn("place", place).where(F.col("place") <= rows).select("__id").distinct()
+    picked = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("lang", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["lang", "words"])
 
-def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Field:
-    """Fit by gradient steps on the log likelihood of sequences that switch language:
-    each is a run of one text's words, or of two texts' words one after the other."""
-    labels = sorted({lang for lang, _ in rows})
-    number = {lang: k for k, lang in enumerate(labels)}
-    rng = np.random.default_rng(seed)
-    counts: dict[str, int] = {}
-    for _, words in rows:
-        for w in set(words):
-            counts[w] = counts.get(w, 0) + 1
-    often = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))[:LEXICON]
-    lexicon = {w: k for k, w in enumerate(often)}
+    return picked.mapInArrow(run, "lang string, words array<string>").orderBy("lang", "words")
+
+
+def fit(rows: Iterable[tuple[str, list[str]]], seed: int = 11, steps: int = STEPS) -> Field:
+    """Fit by gradient steps on the log likelihood of sequences that switch language: each
+    is a run of one text's words, or of two texts' words one after the other, drawn from
+    all runs of whole texts. Words are kept as numbers."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    texts: list[tuple[str, np.ndarray]] = []
+    for lang, words in rows:
+        texts.append((lang, np.fromiter(map(number.__getitem__, words), np.int32, len(words))))
+    labels = sorted({lang for lang, _ in texts})
+    vocabulary = list(number)
+    seen_in = np.zeros(len(vocabulary), np.int64)
+    for _, ids in texts:
+        seen_in[np.unique(ids)] += 1
+    often = sorted(np.flatnonzero(seen_in > 1).tolist(), key=lambda i: (-seen_in[i], vocabulary[i]))[:LEXICON]
+    lexicon = {vocabulary[i]: k for k, i in enumerate(often)}
+    in_lexicon = np.full(len(vocabulary), len(lexicon), np.int64)
+    in_lexicon[often] = np.arange(len(often))
     field = Field(labels, np.zeros((BUCKETS, len(labels)), np.float32), lexicon, np.zeros((len(lexicon) + 1, len(labels)), np.float32), np.eye(len(labels), dtype=np.float32))
-    runs = [(number[lang], words[i : i + SEQUENCE]) for lang, words in rows for i in range(0, len(words), SEQUENCE)]
-    if not runs or len(labels) < 2:
+    by_label = [[ids[i : i + SEQUENCE] for lang, ids in texts if lang == name for i in range(0, len(ids), SEQUENCE)] for name in labels]
+    if len(labels) < 2 or not all(by_label):
         return field
-    vocabulary = sorted({w for _, r in runs for w in r})
-    at = {w: k for k, w in enumerate(vocabulary)}
-    feats, cuts = features(vocabulary)
-    in_lexicon = np.array([lexicon.get(w, len(lexicon)) for w in vocabulary])
+    rng = np.random.default_rng(seed)
     squared = [np.full(x.shape, 1e-2, np.float32) for x in (field.weights, field.lexicon_weights, field.transitions)]
-    # every label weighs alike, however many rows it has
-    by_label = [[r for k, r in runs if k == lab] for lab in range(len(labels))]
-    size = 256
-    for _ in range(EPOCHS * max(1, len(runs) // (2 * size))):
-        first, second = rng.integers(0, len(labels), (2, size))
-        ids, gold, lengths = [], [], []
-        for a, b in zip(first, second):
+    for _ in range(steps):
+        # every label weighs alike, however many rows it has
+        first, second = rng.integers(0, len(labels), (2, DRAWN))
+        parts, gold, lengths = [], [], []
+        for a, b in zip(first.tolist(), second.tolist()):
             left = by_label[a][rng.integers(len(by_label[a]))]
-            right = by_label[b][rng.integers(len(by_label[b]))] if rng.random() < 0.5 else []
-            right = right[: 1 + int(rng.integers(len(right)))] if right else []
-            ids += [at[w] for w in left + right]
+            right = by_label[b][rng.integers(len(by_label[b]))] if rng.random() < 0.5 else left[:0]
+            right = right[: 1 + int(rng.integers(len(right)))] if len(right) else right
+            parts += [left, right]
             gold += [a] * len(left) + [b] * len(right)
             lengths.append(len(left) + len(right))
-        ids, gold, lengths = np.array(ids), np.array(gold), np.array(lengths)
-        used, where = np.unique(ids, return_inverse=True)
-        spans = [feats[cuts[w] : cuts[w + 1]] for w in used]
-        flat, cut = np.concatenate(spans), starts_of(np.array([len(s) for s in spans]))
+        gold, lengths = np.array(gold), np.array(lengths)
+        used, where = np.unique(np.concatenate(parts), return_inverse=True)
+        flat, cut = features([vocabulary[i] for i in used])
         emissions = np.add.reduceat(field.weights[flat], cut[:-1], axis=0) + field.lexicon_weights[in_lexicon[used]]
         gamma, pairs = forward_backward(emissions[where].astype(np.float64), field.transitions.astype(np.float64), lengths)
         gap = -gamma
@@ -172,7 +189,7 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Field:
         np.add.at(g, flat, np.repeat(by_word, np.diff(cut), axis=0).astype(np.float32))
         gl = np.zeros_like(field.lexicon_weights)
         np.add.at(gl, in_lexicon[used], by_word.astype(np.float32))
-        for x, grad, sq in zip((field.weights, field.lexicon_weights, field.transitions), (g / size, gl / size, ((seen - pairs) / size).astype(np.float32)), squared):
+        for x, grad, sq in zip((field.weights, field.lexicon_weights, field.transitions), (g / DRAWN, gl / DRAWN, ((seen - pairs) / DRAWN).astype(np.float32)), squared):
             grad = grad - L2 * x
             sq += grad * grad
             x += STEP * grad / np.sqrt(sq)
@@ -180,7 +197,7 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Field:
 
 
 def predict(docs: DataFrame, field: Field, words: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score[, labels]) of every whole text.
+    """(doc_id, lang_pred, score[, labels]) of every whole text, however long.
 
     ``score`` is the share of the predicted language in the letters' label
     probabilities; ``labels`` lists each word's language. Null text, or one without a
@@ -190,42 +207,62 @@ def predict(docs: DataFrame, field: Field, words: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        numbered = Numbered(lambda new: np.hstack([model.emissions(new), np.array([[len(w)] for w in new], np.float32)]))
-        L = len(model.labels)
+        labeller = Labeller(shared.value)
         for batch in slices(batches):
-            found = [_WORDS(t.lower()) for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(w) for w in found], dtype=np.int64)
-            rows = numbered.rows[ids] if len(ids := numbered([w for ws in found for w in ws])) else np.zeros((0, L + 1), np.float32)
-            gamma, _ = forward_backward(rows[:, :L], model.transitions, lengths)
-            mass = np.zeros((len(lengths) + 1, L))
-            if len(ids) and L:
-                some = np.flatnonzero(lengths)
-                mass[some] = np.add.reduceat(gamma * rows[:, L:], starts_of(lengths)[some], axis=0)
-            mass = mass[:-1]
-            total = mass.sum(axis=1)
-            known = total > 0
-            best = mass.argmax(axis=1) if L else np.zeros(len(mass), int)
-            score = np.where(known, mass.max(axis=1, initial=0) / np.where(known, total, 1), 0.0)
-            names = [model.labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-            out = [batch.column(0), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64())]
+            names, score, each, cut = labeller(batch.column(1).to_pylist())
+            out = [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())]
             if words:
-                each = [model.labels[k] for k in gamma.argmax(axis=1)] if L else []
-                cut = starts_of(lengths) if L else np.zeros(len(lengths) + 1, int)
-                out.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(each, pa.string())))
+                out.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(each(), pa.string())))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "labels"][: len(out)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed_text(docs).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double" + ", labels array<string>" * words)
 
 
+class Labeller:
+    """A field and the emissions of the words a worker has met."""
+
+    def __init__(self, model: Field):
+        self.model = model
+        self.numbered = Numbered(lambda new: np.hstack([model.emissions(new), np.array([[len(w)] for w in new], np.float32)]))
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, Callable[[], list[str]], np.ndarray]:
+        """(language and score of each text; a function that lists its words' languages,
+        and where each text's begin in it)."""
+        model, L = self.model, len(self.model.labels)
+        found = [words_of(t) for t in texts]
+        lengths = np.array([len(w) for w in found], dtype=np.int64)
+        ids = self.numbered([w for ws in found for w in ws])
+        rows = self.numbered.rows[ids] if len(ids) else np.zeros((0, L + 1), np.float32)
+        gamma, _ = forward_backward(rows[:, :L], model.transitions, lengths)
+        mass = np.zeros((len(lengths), L))
+        if len(ids) and L:
+            some = np.flatnonzero(lengths)
+            mass[some] = np.add.reduceat(gamma * rows[:, L:], starts_of(lengths)[some], axis=0)
+        total = mass.sum(axis=1)
+        known = total > 0
+        best = mass.argmax(axis=1) if L else np.zeros(len(mass), int)
+        score = np.where(known, mass.max(axis=1, initial=0) / np.where(known, total, 1), 0.0)
+        names = [model.labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
+        each = lambda: [model.labels[k] for k in gamma.argmax(axis=1)] if L else []
+        return names, np.minimum(score, 1.0), each, starts_of(lengths) if L else np.zeros(len(lengths) + 1, int)
+
+
 def learn(docs: DataFrame) -> Field:
     """Fit on the bounded sample of ``docs`` (doc_id, text, lang)."""
-    return fit([(r.lang, list(r.words)) for r in training_rows(docs).toLocalIterator()])
+    return fit((r.lang, r.words) for r in training_rows(docs).toLocalIterator())
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose language is known with at least ``least``. Of rows
-    that repeat an id, none stays if one is rejected."""
-    bad = predict(docs, learn(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    return by_ids(docs, bad.select("doc_id"), keep=False)
+    """The documents, all columns, whose language is known with at least ``least``. Rows are
+    judged one by one, also where they share an id."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in slices(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            names, score, _, _ = labeller([t or "" for t in texts])
+            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -144,11 +144,16 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, rows: int = FIT_ROWS) -> Model:
-    """Fit on labels.quality of rows that are not held out, and have a document and a label."""
+    """Fit on labels.quality of rows that are not held out, and have a document and a label.
+
+    A bounded sample of ids (``rows`` of them, lowest crc32 first), whole texts. An id that
+    is labelled twice counts as 1 if one label says so; of two texts of one id the first in
+    order is read."""
     usable = labels.select("doc_id", "quality").where((crc_mod(F.col("doc_id"), modulus) != held_out) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    picked = usable.orderBy(crc, "doc_id").limit(rows)
-    texts = keyed_text(docs).join(F.broadcast(picked), "doc_id").select((F.col("quality") == 1).cast("int").alias("label"), "text").limit(2 * rows)
+    picked = usable.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("label")).orderBy(crc, "doc_id").limit(rows)
+    found = keyed_text(docs).join(F.broadcast(picked), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Numbered(_token_rows)

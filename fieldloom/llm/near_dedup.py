@@ -38,7 +38,7 @@ from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices,
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair agrees on no band of five with probability 7e-6.
 BANDS, ROWS = 30, 5
-PAIRS_PER_MEMBER = 32
+PAIRS_PER_MEMBER = 2
 #: Members and elements in a block of a crowded bucket, elements compared at once.
 BLOCK_MEMBERS, BLOCK_ELEMENTS, BLOCK_COLUMNS = 256, 2_000_000, 20_000
 #: Classes of set sizes between a size and ``similarity`` times it.
@@ -138,21 +138,40 @@ def unpacked(packed: bytes) -> np.ndarray:
     return raw.view(np.uint64).ravel()
 
 
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A filter of fixed size with a bit for each row (one long). To the driver: a row for
+    64 bits at most."""
+    h = F.col(hashes.columns[0]).bitwiseAND(FILTER_BITS - 1).alias("h")
+    words = hashes.select(h).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return bits.view(np.uint8)
+
+
+def _hits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (FILTER_BITS - 1)
+    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
-    """(key, elements): sorted shingle hashes, packed, of the nodes involved, from their documents."""
-    ids = nodes.join(involved, "key", "left_semi").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi").select("text")
+    """(key, elements): sorted shingle hashes, packed, of the nodes involved, from their
+    documents, which are picked by a filter, so that no text is shuffled."""
+    ids = nodes.join(involved, "key", "left_semi").select(F.xxhash64("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = Numbered(_hashes)
-        for batch in slices(batches):
-            tokens, starts = _tokens(batch.column(0).to_pylist(), numbered)
-            of, element, _ = shingles(tokens, starts)
-            cuts = starts_of(np.bincount(of, minlength=batch.num_rows)) * 5
-            body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(_packed(element))])
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(tokens, starts), pa.binary()), body], ["key", "elements"])
+        numbered, bits = Numbered(_hashes), shared.value
+        for whole in batches:
+            picked = whole.take(pa.array(_hits(bits, whole.column(0).to_numpy())))
+            for batch in slices([picked]):
+                tokens, starts = _tokens(batch.column(1).to_pylist(), numbered)
+                of, element, _ = shingles(tokens, starts)
+                cuts = starts_of(np.bincount(of, minlength=batch.num_rows)) * 5
+                body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(_packed(element))])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(tokens, starts), pa.binary()), body], ["key", "elements"])
 
-    return texts.mapInArrow(run, "key binary, elements binary").where("key IS NOT NULL").dropDuplicates(["key"])
+    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "key binary, elements binary").where("key IS NOT NULL")
+    return found.dropDuplicates(["key"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, sets: DataFrame | None = None) -> DataFrame:
@@ -202,9 +221,23 @@ def _similar_sizes(a: str, b: str, similarity: float):
     return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
 
 
-def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    labels = components(edges).withColumnRenamed("label", "comp")
-    return rows.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels (key, label) after more edges; only the new edges, between the components
+    there were, are contracted."""
+    if labels is None:
+        return components(edges)
+    of = lambda c: (F.col(c) == F.col(f"k{c}"), labels.toDF(f"k{c}", f"l{c}"))
+    ends = edges
+    for c in "ab":
+        on, named = of(c)
+        ends = ends.join(named, on, "left").withColumn(c, F.coalesce(f"l{c}", c)).select("a", "b")
+    more = components(materialize(ends.where("a <> b").distinct(), "ends"))
+    old = labels.join(more.toDF("old", "to"), F.col("label") == F.col("old"), "left").select("key", F.coalesce("to", "label").alias("label"))
+    return materialize(old.unionByName(more.join(labels, "key", "left_anti")), "labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("label", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -315,11 +348,7 @@ def _repeated(nodes: DataFrame) -> DataFrame:
     of fixed size, so that the many buckets of one node are not shuffled with their keys."""
     counts = nodes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialize(counts, "repeated")
-    at = F.col("bucket").bitwiseAND(FILTER_BITS - 1)
-    words = counts.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 as int))")).alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    shared = nodes.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+    shared = nodes.sparkSession.sparkContext.broadcast(_bits(counts.select("bucket")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -327,8 +356,7 @@ def _repeated(nodes: DataFrame) -> DataFrame:
             bands = batch.column(2)
             flat = bands.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))
-            at = flat & (FILTER_BITS - 1)
-            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            hit = _hits(bits, flat)
             rows = pa.array(of[hit])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[hit])], ["key", "size", "bucket"])
 
@@ -350,21 +378,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hubs = rows.join(reach, "key").groupBy("bucket").agg(F.max_by(F.struct("key", "size"), F.struct("reach", "key")).alias("head"))
     star = rows.join(hubs, "bucket").where((F.col("key") != F.col("head.key")) & _similar_sizes("size", "head.size", similarity))
     star = materialize(star.select(F.least("head.key", "key").alias("a"), F.greatest("head.key", "key").alias("b")).distinct(), "star")
-    edges = _verify(star, docs, nodes, similarity)
+    labels = _joined(None, _verify(star, docs, nodes, similarity))
     # between components: buckets of few such pairs as they are, the members of others by prefixes
-    mixed = materialize(_mixed(_labelled(rows.select("bucket", "key", "size"), edges)), "mixed")
+    mixed = materialize(_mixed(_labelled(rows.select("bucket", "key", "size"), labels)), "mixed")
     crowded = F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")
     many, few = mixed.where(crowded).select("bucket", "key", "size"), mixed.where(~crowded)
     if not many.isEmpty():
         sets = materialize(_sets(docs, nodes, many.select("key").distinct()), "crowd")
-        edges = edges.unionByName(_block_links(many, sets, similarity))
-        finer = materialize(_mixed(_labelled(_prefixes(sets, similarity), edges)), "finer")
+        labels = _joined(labels, _block_links(many, sets, similarity))
+        finer = materialize(_mixed(_labelled(_prefixes(sets, similarity), labels)), "finer")
         pairs = _meeting(finer, similarity).join(star, ["a", "b"], "left_anti")
-        edges = materialize(edges.unionByName(_verify(pairs, docs, nodes, similarity, sets)), "edges")
-        few = materialize(_mixed(_labelled(few.select("bucket", "key", "size"), edges)), "few")
-    pairs = _between(few, similarity)
-    edges = edges.unionByName(_verify(pairs.join(star, ["a", "b"], "left_anti"), docs, nodes, similarity))
-    least = _labelled(nodes.select("key", "doc_id"), edges)
+        labels = _joined(labels, _verify(pairs, docs, nodes, similarity, sets))
+        few = materialize(_mixed(_labelled(few.select("bucket", "key", "size"), labels)), "few")
+    pairs = _between(few, similarity).join(star, ["a", "b"], "left_anti")
+    labels = _joined(labels, _verify(pairs, docs, nodes, similarity))
+    least = _labelled(nodes.select("key", "doc_id"), labels)
     heads = materialize(least.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "heads")
     of_key = materialize(least.join(heads, "comp").select("key", "class_id"), "classes")
     named = some.select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id")

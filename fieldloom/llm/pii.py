@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm._common import free_name
+
 #: The kinds in the order in which spans are listed; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
 #: Marks put into a working copy of the text, one character for one character,
@@ -27,19 +29,23 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?:-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|[A-Za-z0-9+/_-]{20,}+={0,2}+)",
 }
-#: Score of a span without context, and the words that raise it when one of them
-#: stands within CONTEXT_CHARS before the span.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+#: Score of a span without context, and the words, in the languages of the corpus, that
+#: raise it when one of them stands, as a word of its own, within CONTEXT_CHARS before it.
+SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
-    "email": "mail|contact|write",
-    "ip": "ip|address|host|server",
-    "card": "card|visa|credit|payment",
-    "phone": "phone|tel|call|mobile|fax",
-    "iban": "iban|bank|account",
-    "ssn": "ssn|social security",
+    "email": "e-?mail|mail|contact|contacto|kontakt|courriel|correo|write|escriba|schreiben|écrire",
+    "ip": "ip|ipv4|address|adresse|dirección|host|server|servidor|serveur",
+    "card": "card|visa|mastercard|credit|payment|karte|kreditkarte|carte|tarjeta|pago|paiement",
+    "phone": "phone|tel|telephone|call|mobile|fax|telefon|handy|téléphone|teléfono|móvil|portable",
+    "iban": "iban|bank|account|konto|compte|cuenta|banque|banco",
+    "ssn": "ssn|social security|sozialversicherung|sécurité sociale|seguridad social",
+    "secret": "token|secret|password|passwd|pwd|passwort|contraseña|bearer|(?:api|access|private|secret)[ _-]?key",
 }
 CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD = 40, 0.3, 0.5
+#: Openings by which published kinds of keys are known; such a span needs no context.
+ISSUED = r"^(?:-----BEGIN|AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-)"
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -99,6 +105,8 @@ def _valid(kind: str, body: Column) -> Column:
         return F.char_length(_digits(body)).between(8, 15)
     if kind == "iban":
         return _mod97(body)
+    if kind == "secret":  # a digit and a letter in it, or a header of a private key
+        return body.rlike("^-----BEGIN") | (body.rlike("[0-9]") & body.rlike("[A-Za-z]"))
     return F.lit(True)
 
 
@@ -107,35 +115,40 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii", threshold: float
 
     Spans of a kind do not overlap and are the leftmost ones; those that fail
     their check (octets, Luhn, digit count, mod-97) are dropped without another
-    try. Base kinds stay whatever their score; the further kinds (iban, ssn) need
-    ``threshold``. Null or empty text: an empty array. Repeated rows are each
-    treated alike; other columns pass through. Linear in the text; a span's
+    try. Base kinds stay whatever their score; the further kinds (iban, ssn, secret)
+    need ``threshold``. Null or empty text: an empty array. Repeated rows are each
+    treated alike; other columns pass through, whatever their names, but a column
+    named ``out`` is replaced. Texts are read whole; linear in the text, but a span's
     position costs the spans before it in the same document.
     """
+    mark = free_name(docs, "__pii_")
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), _OPEN + _CLOSE + _SEP + _DOT, _OTHER * 4)
-    df = docs.withColumn("__t", clean)
+    df = docs.withColumn(f"{mark}t", clean)
+    whole = F.col(f"{mark}t")
     # a separator between digits, a dot between domain characters
-    carded = F.regexp_replace("__t", r"(?<=[0-9])[\x20-](?=[0-9])", _SEP)
-    dotted = F.when(F.contains("__t", F.lit("@")), F.regexp_replace("__t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)).otherwise("")
+    carded = F.regexp_replace(whole, r"(?<=[0-9])[\x20-](?=[0-9])", _SEP)
+    dotted = F.when(F.contains(whole, F.lit("@")), F.regexp_replace(whole, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)).otherwise("")
     source = {"email": dotted, "card": carded}
     # one projection for each step: the optimizer keeps them apart, so that no pattern runs twice
-    df = df.withColumns({f"__{k}": _parts(source.get(k, F.col("__t")), k) for k in KINDS})
-    df = df.withColumns({f"__{k}": _spans(F.col(f"__{k}")) for k in KINDS})
+    df = df.withColumns({f"{mark}{k}": _parts(source.get(k, whole), k) for k in KINDS})
+    df = df.withColumns({f"{mark}{k}": _spans(F.col(f"{mark}{k}")) for k in KINDS})
 
     def scored(kind: str) -> Column:
         def one(s: Column) -> Column:
             begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substr(F.col("__t"), begin + 1, s["start"] - begin))
-            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+            near = F.lower(F.substr(whole, begin + 1, s["start"] - begin))
+            score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[kind]})(?![\p{{L}}])"), CONTEXT_GAIN).otherwise(0.0)
+            if kind == "secret":
+                score = score + F.when(s["body"].rlike(ISSUED), CONTEXT_GAIN).otherwise(0.0)
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-        found = F.transform(F.filter(F.col(f"__{kind}"), lambda s: _valid(kind, s["body"])), one)
-        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= threshold)
+        found = F.transform(F.filter(F.col(f"{mark}{kind}"), lambda s: _valid(kind, s["body"])), one)
+        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= threshold - 1e-9)
 
-    some = F.size(F.concat(*[F.col(f"__{k}") for k in KINDS])) > 0
+    some = F.size(F.concat(*[F.col(f"{mark}{k}") for k in KINDS])) > 0
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     df = df.withColumn(out, F.when(some, F.concat(*[scored(k) for k in KINDS])).otherwise(none))
-    return df.drop("__t", *[f"__{k}" for k in KINDS])
+    return df.drop(f"{mark}t", *[f"{mark}{k}" for k in KINDS])
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:

@@ -41,7 +41,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[count(k) for k in pii.BASE], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans")
+        "doc_id", *[count(k) for k in pii.BASE], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 
 

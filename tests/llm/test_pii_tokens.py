@@ -52,6 +52,26 @@ def test_spans_match_plain_python(spark):
     assert extra[15] == [("iban", 0, 22)] and extra[16] == [("ssn", 4, 15)] and extra[17] == []
 
 
+def test_context_secrets_and_clashing_columns(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [
+        f'token = "{key}"', f"commit {key}", "AKIA" + "A1" * 8, "-----BEGIN RSA PRIVATE KEY-----", "password: " + "a" * 30, "contraseña " + "a1" * 12,
+        "shipped 1.2.3.4", "ip 1.2.3.4", "hotel +49 30 1234567", "Teléfono: +49 30 1234567", "x " * 30_000 + f"secret {key} " * 200,
+    ]
+    rows = [(i, t, "mine", 7, "own") for i, t in enumerate(texts)] + [(0, texts[0], "mine", 7, "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __t string, __email int, __pii_t string")
+    out = pii.find(df)
+    assert out.columns == [*df.columns, "pii"] and out.select(*df.columns).exceptAll(df).count() == 0
+    got = {r.doc_id: [(s.kind, s.start, s.end, round(s.score, 2)) for s in r.pii] for r in out.collect()}
+    assert out.count() == len(rows) and out.where("doc_id = 0").distinct().count() == 1
+    assert got[0] == [("secret", 9, 49, 0.6)] and got[1] == [] and got[4] == []
+    assert [got[k][0][0] for k in (2, 3, 5)] == ["secret"] * 3
+    assert [got[k][0][3] for k in (6, 7, 8, 9)] == [0.5, 0.8, 0.5, 0.8]
+    assert len(got[10]) == 200 and all(s[2] - s[1] == 40 for s in got[10])
+    once = pii.redact(out.where("doc_id < 2")).select("doc_id", "text").distinct().collect()
+    assert {r.doc_id: r.text for r in once} == {0: 'token = "[SECRET]"', 1: texts[1]}
+
+
 def test_query_digest_and_redaction(spark):
     rows = queries.op6_pii(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

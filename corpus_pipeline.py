@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii
-from fieldloom.llm._common import materialize, table
+from fieldloom.llm._common import free_name, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
     columns = docs.columns
-    found = pii.redact(pii.find(docs, out="__pii"), spans="__pii")
+    spans = free_name(docs, "spans")
+    found = pii.redact(pii.find(docs, out=spans), spans=spans)
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 

@@ -13,7 +13,8 @@ SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 #: Words that occur in column labels of tables.
 HEADER_WORDS = frozenset(
-    "amount buyer code cpn customer desc description item line no number order part pn po price pos purchase qty quantity ref supplier total unit".split()
+    "part parts no number num nr item items description desc qty quantity quantities qnty units unit po p o purchase order orders customer cust customers "
+    "supplier suppliers seller sellers buyer buyers your our ref reference code pn n sku cpn spn mfr manufacturer".split()
 )
 
 

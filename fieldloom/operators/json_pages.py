@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,33 +35,41 @@ def parse_page(text, schema: str) -> Column:
     return F.when(is_object(t), F.from_json(quote_numbers(t), schema))
 
 
+#: A string, closed or cut off, or one bracket.
+_STRUCTURE = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.S)
+
+
 def salvage(text: str | None) -> str | None:
     """The longest valid prefix of truncated JSON: cut after the last complete nested
-    container and close what is open. Null if there is no such cut."""
+    container and close what is open. Null if there is no such cut, or where a bracket
+    closes one of another kind: that is malformed, not truncated.
+
+    Brackets outside of strings get a level, openers the depth they lead to and closers the
+    one they leave; on each level openers and closers take turns.
+    """
     if text is None:
         return None
     try:
         return text if isinstance(json.loads(text), dict) else None
     except ValueError:
         pass
-    open_, cuts, quoted, skip = [], [], False, False
-    for i, ch in enumerate(text):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch in "{[":
-            open_.append("}" if ch == "{" else "]")
-        elif ch in "}]" and open_:
-            open_.pop()
-            if open_:
-                cuts.append((i + 1, "".join(reversed(open_))))
-    for at, closers in reversed(cuts):
+    found = [m for m in _STRUCTURE.finditer(text) if m.group()[0] != '"']
+    kinds = np.array(["{[}]".index(m.group()) for m in found], dtype=np.int64)
+    depth = np.cumsum(np.where(kinds < 2, 1, -1))
+    if not len(kinds) or depth.min() < 0:
+        return None
+    level = np.where(kinds < 2, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    follows = np.flatnonzero(kinds[order] >= 2)  # each closer comes right after its opener
+    if (kinds[order[follows]] - 2 != kinds[order[follows - 1]]).any():
+        return None
+    openers = np.flatnonzero(kinds < 2)
+    for k in np.flatnonzero((kinds >= 2) & (depth > 0))[::-1].tolist():
+        before = openers[openers < k]
+        left = [kinds[before[level[before] == at][-1]] for at in range(int(depth[k]), 0, -1)]
+        whole = text[: found[k].end()] + "".join("}]"[x] for x in left)
         try:
-            if isinstance(json.loads(whole := text[:at] + closers), dict):
-                return whole
+            return whole if isinstance(json.loads(whole), dict) else None
         except ValueError:
             continue
     return None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 def balance(sizes: Sequence[tuple[object, int]], k: int) -> dict[object, int]:
     """Longest first to the least loaded shard, ties to the lowest. For run plans of a few
     thousand units, made on the driver; data are dealt by :func:`deal`."""
-    load, out = [0] * k, {}
+    shards, out = [(0, i) for i in range(k)], {}
     for name, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
-        shard = min(range(k), key=lambda i: (load[i], i))
-        load[shard] += size
+        load, shard = heapq.heappop(shards)
+        heapq.heappush(shards, (load + size, shard))
         out[name] = shard
     return out
 
@@ -41,13 +43,12 @@ def windows(df: DataFrame, by: str, order: str, weight: str, least: int) -> Data
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        out, at, total = [], 0, 0
-        for w in pdf[weight]:
-            out.append(at)
-            total += w
-            if total >= least:
-                at, total = at + 1, 0
-        return pdf.assign(window=out)
+        total = np.cumsum(pdf[weight].to_numpy())
+        starts, base = [0], 0
+        while (end := int(np.searchsorted(total[starts[-1] :], base + least)) + starts[-1]) < len(total) - 1:
+            base = total[end]
+            starts.append(end + 1)
+        return pdf.assign(window=np.searchsorted(np.array(starts), np.arange(len(pdf)), side="right") - 1)
 
     schema = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", window int"
     return df.select(by, order, weight).groupBy(by).applyInPandas(walk, schema)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.dates import bound
+
 from fieldloom.functions.text import is_blank
 
 
@@ -50,17 +52,29 @@ def leaked_values(texts: DataFrame, text: str, values: DataFrame, value: str, le
     return texts.select(F.col(text).alias(value)).distinct().join(kept.select(value).distinct(), value)
 
 
+#: Heads of passages up to this number are broadcast (under 100 MB), beyond it shuffled.
+BROADCAST_HEADS = 1_000_000
+
+
 def contained(docs: DataFrame, doc: str, text: str, passages: DataFrame, item: str, words: int = 6) -> DataFrame:
     """(doc, item): passages that a text holds word for word. Blocked by the passage's first
-    words: an equi-join on hashed runs of words, then the exact test; passages under
-    ``words`` words are not looked for."""
-    run = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, words), " ")))
+    words: a hash for every run of words of a text meets the passages' heads, carrying the
+    document's key only; the texts of the hits are fetched for the exact test. Passages
+    under ``words`` words are not looked for."""
     split = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), " ")
-    p = passages.select(item, split(F.col(text)).alias("__w")).where(F.size("__w") >= words)
-    p = p.select(item, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__p"), F.xxhash64(F.array_join(F.slice("__w", 1, words), " ")).alias("__h"))
-    d = docs.select(doc, split(F.col(text)).alias("__w")).where(F.size("__w") >= words)
-    d = d.select(doc, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__t"), F.explode(F.array_distinct(run(F.col("__w")))).alias("__h"))
-    return d.join(p, "__h").where(F.contains("__t", F.col("__p"))).select(doc, item).distinct()
+    padded = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), F.lit(" "))
+    head = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(words)])
+
+    def heads(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - words)
+        return bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.array_distinct(F.transform(at, lambda i: head(h, i))))
+
+    p = passages.select(item, F.col(text).alias("__p"), bound(split(F.col(text)), lambda w: F.when(F.size(w) >= words, head(F.transform(F.slice(w, 1, words), lambda x: F.xxhash64(x)), F.lit(0)))).alias("__h")).where("__h IS NOT NULL")
+    few = F.broadcast if p.count() <= BROADCAST_HEADS else (lambda df: df)
+    d = docs.select(doc, F.explode(bound(split(F.col(text)), lambda w: F.when(F.size(w) >= words, heads(w)))).alias("__h"))
+    hits = d.join(few(p.select(item, "__h")), "__h").select(doc, item).distinct()
+    both = docs.select(doc, text).join(hits, doc).join(few(p.select(item, "__p")), item)
+    return both.where(F.contains(padded(F.col(text)), padded(F.col("__p")))).select(doc, item).distinct()
 
 
 def step_problems(df: DataFrame, by: Sequence[str], step: str, order: str) -> DataFrame:

@@ -7,20 +7,24 @@ statistics and added up with map-side partial sums, one row a draw and group in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.dates import bound
+
 
 def multiplicity(draw, unit) -> Column:
-    """Poisson(1) weight from 32 bits of an MD5; the same in any engine with MD5."""
+    """Poisson(1) weight from 32 bits of an MD5; the same in any engine with MD5. The bits
+    are held against the cumulative probabilities as they stand, as eight hex digits."""
     text = F.concat(draw.cast("string"), F.lit("|"), unit.cast("string"))
-    u = F.conv(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / 4294967296.0
     # fixed values: cumulative probabilities of a Poisson variable with mean 1
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    return sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
+    edges = F.array(*[F.lit(f"{math.ceil(c * 2**32):08x}") for c in cuts])
+    return bound(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(8)), lambda u: F.size(F.filter(edges, lambda e: e <= u)))
 
 
 def draws(units: DataFrame, unit: str, sums: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:

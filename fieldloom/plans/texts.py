@@ -81,7 +81,7 @@ def row_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def reading_order_lines(spark: SparkSession, d: str) -> DataFrame:
     """Boxes placed by arithmetic on keys, read in order."""
-    g = hosts.gold_rows(spark, d).where("doc % 10 = 0").select("doc", "row", ((F.col("part") * 37 + F.col("row") * 101) % 400).cast("double").alias("x"), ((F.col("part") * 13 + F.col("row") * 57) % 90).cast("double").alias("y"))
+    g = hosts.gold_rows(spark, d).select("doc", "row", ((F.col("part") * 37 + F.col("row") * 101) % 400).cast("double").alias("x"), ((F.col("part") * 13 + F.col("row") * 57) % 90).cast("double").alias("y"))
     g = g.withColumn("y1", F.col("y") + 6 + F.col("row") % 5)
     return layout.reading_lines(g, ["doc"], "x", "y", "y1", "row").select("doc", "row", F.col("line").cast("long").alias("line"), F.col("pos").cast("long").alias("pos"))
 
@@ -178,7 +178,7 @@ SELECT g <> '' AND p <> '' AND (levenshtein(g, p) <= 2 OR 1 - levenshtein(g, p)
 SELECT c.conv_id, md5(arg_min(text, turn)) AS first_text, md5(arg_max(text, turn) FILTER (WHERE role = 'assistant')) AS total_amount, any_value(winner) AS winner, any_value(votes) AS votes FROM conversations c LEFT JOIN w USING (conv_id) GROUP BY c.conv_id""",
     "page_disagreement": "SELECT conv_id, count(DISTINCT v) AS n_values, count(DISTINCT v) > 1 AS disagree FROM (SELECT conv_id, CASE WHEN regexp_matches(upper(substr(text, 1, 1)), '[A-Z]') THEN upper(substr(text, 1, 1)) END AS v FROM conversations) GROUP BY conv_id",
     "row_sources": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS row FROM conversations WHERE turn % 3 = 0",
-    "reading_order_lines": sql(("gold",), "SELECT doc, row, CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY doc, line ORDER BY x, row) - 1 AS pos FROM l", b="SELECT doc, row, ((part * 37 + row * 101) % 400)::DOUBLE AS x, ((part * 13 + row * 57) % 90)::DOUBLE AS y, 6.0::DOUBLE + row % 5 AS h FROM gold WHERE doc % 10 = 0", t="SELECT *, y + h / 2 AS c, quantile_cont(h, 0.5) OVER (PARTITION BY doc) / 2 AS tol FROM b", n="SELECT *, coalesce(c - lag(c) OVER (PARTITION BY doc ORDER BY c, x, row) > tol, false)::INT AS new FROM t", l="SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY c, x, row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM n"),
+    "reading_order_lines": sql(("gold",), "SELECT doc, row, CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY doc, line ORDER BY x, row) - 1 AS pos FROM l", b="SELECT doc, row, ((part * 37 + row * 101) % 400)::DOUBLE AS x, ((part * 13 + row * 57) % 90)::DOUBLE AS y, 6.0::DOUBLE + row % 5 AS h FROM gold", t="SELECT *, y + h / 2 AS c, quantile_cont(h, 0.5) OVER (PARTITION BY doc) / 2 AS tol FROM b", n="SELECT *, coalesce(c - lag(c) OVER (PARTITION BY doc ORDER BY c, x, row) > tol, false)::INT AS new FROM t", l="SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY c, x, row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM n"),
     "span_ngrams_top": "WITH w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM benchmark), s AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS span FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n))) SELECT CAST(n AS INT) AS n, span, count(*) AS times, count(DISTINCT item_id) AS items FROM s GROUP BY n, span HAVING count(*) > 1",
     "leak_scan": "WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^0-9a-z_]+', ' ', 'g')) || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^0-9a-z_]+', ' ', 'g')) || ' ' AS p FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(t, p) WHERE len(string_split(trim(p), ' ')) >= 6",
     "layout_keywords": "SELECT page_id, " + ", ".join(f"({_AT(k)} > 0)::INT::DOUBLE AS s{2 * i}, CASE WHEN {_AT(k)} > 0 THEN round_even({_AT(k)} / greatest(len(html), 1)::DOUBLE, 1) ELSE 0 END AS s{2 * i + 1}" for i, k in enumerate(("<nav", 'class="ad"', "<article", "<table"))) + " FROM pages",

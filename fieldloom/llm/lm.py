@@ -1,18 +1,24 @@
 """Language-model scores: a log-bilinear neural model trained with noise contrast.
 
 The next word's score is bilinear in its vector and in a prediction made from the vectors
-of the two words before it. Workers train on their share of the text with noise-contrastive
-estimation, starting from the same vectors; the results are averaged by the words they
-saw. Scoring is by matrix products over the model's vocabulary, normalised exactly: with
-two context words there are K * K contexts, so their normalisers are computed once.
-
-The model's vocabulary is the most frequent words, the end of text, and one class for all
-rarer words; a rarer word's probability is the class's times its share of the class, by
-add-one counts with one share left for words never seen.
+of the two words before it. Training texts are dealt to shards of about SHARD_TOKENS by a
+hash of the row, whatever partitions they come in; each shard is trained on in the order of
+its rows' hashes with noise-contrastive estimation, starting from the same vectors, and the
+results are averaged by the words they saw, in whole numbers, so that the model does not
+depend on how the table is split. Scoring is by matrix products over the model's classes,
+normalised exactly: with two context words there are K * K contexts, so their normalisers
+are computed once.
+
+A class is one of the most frequent words, the end of a text, or one of FORMS classes of
+rarer words of like form (their last two bytes, and whether they hold a digit). Every word
+of the corpus is in the vocabulary: a rarer word's probability is its class's times its
+share of the class, by add-one counts with one share left for words never seen.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,13 +33,16 @@ from fieldloom.llm._common import crc_mod, keyed_text, materialize, slices, star
 #: Words of the neural vocabulary, length of the vectors, noise words shared by a batch,
 #: positions in a batch, step of the descent.
 VOCABULARY, DIMENSIONS, NOISE, BATCH, STEP = 767, 24, 64, 2048, 0.08
+#: Classes of rarer words; tokens of a training shard, and those whose contexts are laid out
+#: at once; the unit of the averages.
+FORMS, SHARD_TOKENS, CHUNK_TOKENS, UNIT = 256, 4_000_000, 250_000, 1 << 20
 #: Frequent words broadcast with their counts (a table of at most this many rows); the
 #: counts of rarer ones are joined.
 TABLE_ROWS = 100_000
 #: Distinct words that a task holds before it passes its counts on.
 COUNTER_ROWS = 600_000
 
-END, RARE = 0, 1  # numbers of the two classes that are no words
+END, FIRST_WORD = 0, 1 + FORMS  # class numbers: the end, then the forms, then the words
 _LOG10 = float(np.log(10.0))
 
 
@@ -53,6 +62,24 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_A_DIGIT = re.compile(rb"[0-9]").search
+
+
+def form_of(word: bytes) -> int:
+    """The class of a word that is not among the frequent ones."""
+    return 1 + zlib.crc32(word[-2:] + (b"9" if _A_DIGIT(word) else b"a")) % FORMS
+
+
+class Classes(dict):
+    """Class numbers of words: the frequent ones', and what was worked out for others here."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = form_of(word)
+        if len(self) < COUNTER_ROWS:
+            self[word] = made
+        return made
+
+
 def _counts(training: DataFrame) -> DataFrame:
     """(word, c) over the training texts; each task adds up before anything is shuffled."""
 
@@ -123,6 +150,14 @@ class Trainer:
             setattr(v, name, getattr(v, name) + STEP * g / np.sqrt(self.sq[name]))
         self._rows("R", np.concatenate((c1, c2)), np.concatenate((g1, g2)))
 
+    def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        """One pass over whole texts, in an order of the trainer's own."""
+        c1, c2 = contexts(ids, starts)
+        order = self.rng.permutation(len(ids))
+        for a in range(0, len(ids), BATCH):
+            at = order[a : a + BATCH]
+            self.step(c1[at], c2[at], ids[at])
+
     def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
         x, sq = getattr(self.v, name), self.sq[name]
         g = np.zeros_like(x)
@@ -131,24 +166,16 @@ class Trainer:
         x += STEP * g / np.sqrt(sq)[:, None]
 
 
-def numbered(texts: list[str], classes: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def numbered(texts: list[str], classes: Classes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each text; classes of all tokens (each text's words, then its end) in one
     array; and where each text starts in it."""
     words = [words_of(t) for t in texts]
     starts = starts_of(np.array([len(w) + 1 for w in words], dtype=np.int64))
-    ids = np.fromiter((c for ws in words for c in (*map(classes.get, ws, _RARES), END)), dtype=np.int64, count=int(starts[-1]))
+    of = classes.__getitem__
+    ids = np.fromiter((c for ws in words for c in (*map(of, ws), END)), dtype=np.int64, count=int(starts[-1]))
     return words, ids, starts
 
 
-class _Rares:
-    def __iter__(self):
-        while True:
-            yield RARE
-
-
-_RARES = _Rares()
-
-
 def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; the end stands before a text."""
     c1, c2 = np.empty_like(ids), np.empty_like(ids)
@@ -160,37 +187,50 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return c1, c2
 
 
-def _train(training: DataFrame, start: Vectors, counts: np.ndarray, classes: dict[bytes, int]) -> Vectors:
-    """One pass over all training texts: each task trains on its rows, results are averaged."""
+def _train(training: DataFrame, start: Vectors, counts: np.ndarray, words: dict[bytes, int], shards: int) -> Vectors:
+    """One pass over all training texts, shard by shard; results are averaged."""
     spark = training.sparkSession
-    shared = spark.sparkContext.broadcast((start, counts, classes))
+    known = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast((start, counts))
     k, dims = start.R.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, counts, classes = shared.value
-        trainer, seen = None, 0
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(known.value)
         for batch in slices(batches):
-            _, ids, starts = numbered(batch.column(0).to_pylist(), classes)
-            c1, c2 = contexts(ids, starts)
-            trainer = trainer or Trainer(start, counts, len(ids))
-            order = np.arange(len(ids))
-            trainer.rng.shuffle(order)
-            for a in range(0, len(ids), BATCH):
-                at = order[a : a + BATCH]
-                trainer.step(c1[at], c2[at], ids[at])
-            seen += len(ids)
-        if trainer:
-            v = trainer.v
-            rows = np.concatenate((v.R, v.C1, v.C2, v.Q, np.pad(v.b[:, None], ((0, 0), (0, dims - 1))))) * np.float64(seen)
-            cut = pa.array(np.arange(len(rows) + 1) * dims, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), seen, dtype=np.int64)), pa.ListArray.from_arrays(cut, pa.array(rows.ravel()))], ["row", "seen", "vec"])
+            _, ids, starts = numbered(batch.column(1).to_pylist(), classes)
+            at = (starts * 2).astype(np.int64)
+            body = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(ids.astype(np.uint16))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), body], ["h", "ids"])
 
-    parts = training.select("text").mapInArrow(run, "row int, seen long, vec array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for shard, h, ids in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                rows.setdefault(shard, []).append((h, ids))
+        for shard, found in sorted(rows.items()):
+            start, counts = shared.value
+            trainer, seen, part, size = Trainer(start, counts, shard), 0, [], 0
+            for _, ids in (*sorted(found), (0, None)):
+                if ids is not None:
+                    part.append(np.frombuffer(ids, np.uint16))
+                    size += len(part[-1])
+                if part and (ids is None or size >= CHUNK_TOKENS):
+                    trainer.learn(np.concatenate(part).astype(np.int64), starts_of(np.array([len(x) for x in part])))
+                    seen, part, size = seen + size, [], 0
+            v = trainer.v
+            vectors = np.concatenate((v.R, v.C1, v.C2, v.Q, np.pad(v.b[:, None], ((0, 0), (0, dims - 1)))))
+            whole = np.round(vectors.astype(np.float64) * UNIT).astype(np.int64) * seen
+            cut = pa.array(np.arange(len(whole) + 1) * dims, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(np.full(len(whole), seen, dtype=np.int64)), pa.ListArray.from_arrays(cut, pa.array(whole.ravel()))], ["row", "seen", "vec"])
+
+    dealt = training.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(number, "h long, ids binary")
+    dealt = dealt.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "ids").repartitionById(shards, "shard")
+    parts = dealt.mapInArrow(run, "row int, seen long, vec array<long>")
     sums = parts.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("vec")[i]).alias(f"x{i}") for i in range(dims)])
     got = sums.toPandas().sort_values("row")
     if got.empty:
         return start
-    rows = (got[[f"x{i}" for i in range(dims)]].to_numpy() / got[["seen"]].to_numpy()).astype(np.float32)
+    rows = (got[[f"x{i}" for i in range(dims)]].to_numpy() / UNIT / got[["seen"]].to_numpy()).astype(np.float32)
     R, C1, C2, Q, b = np.split(rows, np.cumsum([k, dims, dims, k]))
     return Vectors(R, C1, C2, Q, np.ascontiguousarray(b[:, 0]))
 
@@ -205,11 +245,33 @@ def tables(v: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one.astype(np.float32), two.astype(np.float32), z.astype(np.float32)
 
 
+def _form_counts(counts: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each form, of the words that are not frequent."""
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, types, known = np.zeros(FIRST_WORD, np.int64), np.zeros(FIRST_WORD, np.int64), shared.value
+        for batch in batches:
+            rare = [(form_of(w), c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in known]
+            if rare:
+                at, c = np.array(rare, dtype=np.int64).T
+                tokens += np.bincount(at, c, FIRST_WORD).astype(np.int64)
+                types += np.bincount(at, minlength=FIRST_WORD)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FIRST_WORD, dtype=np.int32)), pa.array(tokens), pa.array(types)], ["form", "tokens", "types"])
+
+    made = counts.select("word", "c").mapInArrow(run, "form int, tokens long, types long").groupBy("form").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toPandas()
+    tokens, types = np.zeros(FIRST_WORD, np.int64), np.zeros(FIRST_WORD, np.int64)
+    tokens[made["form"].to_numpy()], types[made["form"].to_numpy()] = made["tokens"].to_numpy(), made["types"].to_numpy()
+    return tokens, types
+
+
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
     Null text counts as empty: one token, the end. Repeated rows are each scored (and
-    each trained on). With nothing to train on, counts are zero and every token is unknown.
+    each trained on); very long texts are read whole. Of words that are equally frequent the
+    lower ones by bytes are the frequent ones. With nothing to train on, counts are zero and
+    every token is unknown. Only doc_id and text are read.
     """
     texts = keyed_text(docs).withColumn("held_out", crc_mod(F.col("doc_id"), modulus) == held_out)
     spark, training = docs.sparkSession, texts.where(~F.col("held_out"))
@@ -219,37 +281,38 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     V, N = total.v + (ends > 0), (total.n or 0) + ends
     top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(TABLE_ROWS).toLocalIterator()]
     known = dict(top)
-    classes = {w: i + 2 for i, (w, _) in enumerate(top[:VOCABULARY])}
-    in_classes = sum(c for _, c in top[:VOCABULARY])
-    rare_types, rare_tokens = max(0, total.v - len(classes)), (total.n or 0) - in_classes
-    class_counts = np.array([ends, rare_tokens, *(c for _, c in top[:VOCABULARY])], dtype=np.float64)
-    one, two, z = tables(_train(training, initial(class_counts), class_counts, classes))
-    shared = spark.sparkContext.broadcast((known, classes, one, two, z))
-    rare_log = float(np.log10(rare_tokens + rare_types + 1))
+    words = {w: FIRST_WORD + i for i, (w, _) in enumerate(top[:VOCABULARY])}
+    tokens, types = _form_counts(counts, words)
+    class_counts = np.concatenate((tokens.astype(np.float64), [float(c) for _, c in top[:VOCABULARY]]))
+    class_counts[END] = ends
+    one, two, z = tables(_train(training, initial(class_counts), class_counts, words, max(1, -(-N // SHARD_TOKENS))))
+    # what a token adds to its class's probability: a rare word's share, less its own count
+    share = np.zeros(len(class_counts))
+    share[1:FIRST_WORD] = -np.log10(tokens[1:] + types[1:] + 1)
+    share[FIRST_WORD:] = -np.log10(class_counts[FIRST_WORD:] + 1)
+    shared = spark.sparkContext.broadcast((known, words, one, two, z, share))
     base_log, end_log = float(np.log10(N + V + 1)), float(np.log10(ends + 1))
     complete = total.v <= TABLE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes, one, two, z = shared.value
+        known, words, one, two, z, share = shared.value
         logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        rare_logs = {w: x for w, x in logs.items() if w not in classes}
+        classes = Classes(words)
         for batch in slices(batches):
-            words, ids, starts = numbered(batch.column(1).to_pylist(), classes)
+            found, ids, starts = numbered(batch.column(1).to_pylist(), classes)
             c1, c2 = contexts(ids, starts)
-            nat = one[c1, ids].astype(np.float64) + two[c2, ids] - z[c1, c2]
-            model = np.add.reduceat(nat, starts[:-1]) / _LOG10
-            base, rare, n_known, missed = [], [], [], []
-            for ws in words:
-                base.append(end_log + sum(map(logs.get, ws, _ZEROS)))
-                r = [rare_logs.get(w) for w in ws if w not in classes]
-                inside = [x for x in r if x is not None]
-                rare.append(sum(inside) - rare_log * len(r))
-                n_known.append(len(ws) - len(r) + len(inside) + (ends > 0))
-                missed.append([] if complete or len(inside) == len(r) else [w for w in ws if w not in logs])
-            n = np.diff(starts)
+            nat = (one[c1, ids].astype(np.float64) + two[c2, ids] - z[c1, c2]) / _LOG10 + share[ids]
+            model = np.add.reduceat(nat, starts[:-1])
+            own, n_known, missed = [], [], []
+            for ws in found:
+                own.append(sum(map(logs.get, ws, _ZEROS)))
+                missing = [w for w in ws if w not in logs]
+                n_known.append(len(ws) - len(missing) + (ends > 0))
+                missed.append([] if complete else missing)
+            n, own = np.diff(starts), np.array(own)
             lists = pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(m) for m in missed])), pa.int32()), pa.array([w for m in missed for w in m], pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n), pa.array(n_known, pa.int64()), pa.array(np.array(base) - n * base_log), pa.array(model + np.array(rare)), lists],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(n_known, pa.int64()), pa.array(own + end_log - n * base_log), pa.array(model + own), lists],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "missed"],
             )
 

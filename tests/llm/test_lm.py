@@ -56,10 +56,51 @@ def test_probabilities_add_up_to_one():
 
 
 def test_contexts_stop_at_texts():
-    _, ids, starts = lm.numbered(["a b zz", "", "b"], {b"a": 2, b"b": 3})
-    assert ids.tolist() == [2, 3, 1, 0, 0, 3, 0]
+    a, b, zz = 300, 301, lm.form_of(b"zz")
+    _, ids, starts = lm.numbered(["a b zz", "", "b"], lm.Classes({b"a": a, b"b": b}))
+    assert ids.tolist() == [a, b, zz, 0, 0, b, 0] and 1 <= zz <= lm.FORMS
     c1, c2 = lm.contexts(ids, starts)
-    assert c1.tolist() == [0, 2, 3, 1, 0, 0, 3] and c2.tolist() == [0, 0, 2, 3, 0, 0, 0]
+    assert c1.tolist() == [0, a, b, zz, 0, 0, b] and c2.tolist() == [0, 0, a, b, 0, 0, 0]
+
+
+def test_scores_by_hand_whatever_the_partitions(spark, monkeypatch):
+    """Each token's probability from the vectors themselves, class by class; several shards."""
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3_000)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect()] + ODD
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {}
+    real = lm.tables
+    monkeypatch.setattr(lm, "tables", lambda v: kept.setdefault("v", v) and real(v))
+    got = sorted(map(tuple, lm.score(df.repartition(1)).collect()), key=str)
+    first = kept.pop("v")
+    assert got == sorted(map(tuple, lm.score(df.repartition(6)).collect()), key=str)
+    v = kept["v"]
+    assert all(np.array_equal(getattr(v, n), getattr(first, n)) for n in ("R", "C1", "C2", "Q", "b"))
+    _, seen = plain(data)
+    words = sorted((w for w in seen if w is not None), key=lambda w: (-seen[w], w.encode()))
+    number = {w: lm.FIRST_WORD + i for i, w in enumerate(words[:40])}
+    form = {w: lm.form_of(w.encode()) for w in words[40:]}
+    tokens_of, types_of = Counter(), Counter()
+    for w, f in form.items():
+        tokens_of[f] += seen[w]
+        types_of[f] += 1
+    want = {}
+    for d, t in data:
+        c1 = c2 = 0
+        total = 0.0
+        for w in tokens(t)[:400] if d != 903 else []:
+            k = 0 if w is None else number.get(w) or lm.form_of(w.encode())
+            x = (v.R[c1] @ v.C1 + v.R[c2] @ v.C2).astype(np.float64) @ v.Q.T + v.b
+            total += (x[k] - np.log(np.exp(x - x.max()).sum()) - x.max()) / np.log(10)
+            if 0 < k < lm.FIRST_WORD:
+                total += log10((seen[w] + 1) / (tokens_of[k] + types_of[k] + 1))
+            c1, c2 = k, c1
+        want[d, t] = total
+    by = {g[0]: g[6] for g in got if g[0] != 904}
+    checked = [abs(by[d] - want[d, t]) <= 1e-3 + 1e-4 * abs(want[d, t]) for d, t in data if d not in (903, 904) and len(tokens(t)) <= 400]
+    assert len(checked) > 25 and all(checked)
 
 
 def test_training_finds_a_pattern():

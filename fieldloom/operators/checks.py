@@ -109,9 +109,10 @@ def refusals(runs: DataFrame, run: str, checks: Mapping[str, Column]) -> DataFra
 
 
 def duplicate_keys(text) -> Column:
-    """The keys that an object in JSON names more than once at its top level, in order."""
+    """The keys that an object in JSON names more than once at its top level, in order; up to
+    four levels below it are passed over, whose keys hold no brackets."""
     t = c(text)
-    bare = F.regexp_replace(t, r'"(?:[^"\\]|\\.)*+"(?=\s*[,}\]])', "0")  # string values
+    bare = F.regexp_replace(t, r'("(?:[^"\\]|\\.)*+"\s*:)|"(?:[^"\\]|\\.)*+"', "$1")  # string values go
     inner = F.regexp_replace(F.regexp_replace(bare, r"^\s*\{|\}\s*$", ""), r"\{[^{}]*\}|\[[^\[\]]*\]", "0")
     for _ in range(3):
         inner = F.regexp_replace(inner, r"\{[^{}]*\}|\[[^\[\]]*\]", "0")

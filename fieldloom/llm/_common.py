@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -28,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary one is set.
+    Only where the session has none and all runs on one machine (tests), a temporary one
+    is set; on a cluster that is an error, as its machines would not share it.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
         return found
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -44,10 +48,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     survives the loss of executors, and is compressed, unlike checkpoint()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom/{tag}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that was materialized in it. What is to outlast it has to be
+    written before the end by other means, or around it."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """Like :func:`materialize`, but no scratch around it deletes it."""
+    held, _written[:] = _written[:], []
+    try:
+        return materialize(df, tag)
+    finally:
+        _written[:] = held
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` begins like it."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -19,9 +19,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A topic holds if the text matches; the first that does is the document's, else OTHER.
 TOPICS = (("tabular", r" \| "), ("legal", r"[Ll]icen[sc]e|[Cc]opyright"), ("contact", r"@"), ("numeric", r"[0-9]{6}"))
 OTHER, MISSING = "prose", "(none)"
-#: Sweeps over the three marginals; rounds that settle the common factor; share of all
+#: Sweeps over the three marginals; rounds at most that settle the common factor; share of all
 #: tokens to draw; exponent that flattens observed shares where no target is given.
-SWEEPS, ROUNDS, BUDGET, FLATTEN = 8, 4, 0.5, 0.7
+SWEEPS, ROUNDS, BUDGET, FLATTEN = 8, 12, 0.5, 0.7
 #: Cells up to this number are broadcast (under 100 bytes each).
 BROADCAST_CELLS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,7 +54,8 @@ def _targets(cells: DataFrame, name: str, given: Mapping[str, float] | None, fla
     else:
         goal = F.when(F.col("t") > 0, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]).cast("map<string,double>"), F.col(name)), F.lit(0.0))).otherwise(0.0) if given else F.lit(0.0)
     marginal = marginal.select(name, goal.alias(f"goal_{name}"))
-    return marginal.withColumn(f"goal_{name}", F.try_divide(F.col(f"goal_{name}"), F.sum(f"goal_{name}").over(W.partitionBy())))
+    total = marginal.agg(F.sum(f"goal_{name}")).first()[0] or 0.0  # one number, whatever the values
+    return marginal.withColumn(f"goal_{name}", F.try_divide(F.col(f"goal_{name}"), F.lit(float(total))))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS, budget: float = BUDGET, flatten: float = FLATTEN) -> DataFrame:
@@ -71,18 +72,45 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     for _ in range(sweeps):
         for name in DIMENSIONS:
             df = df.withColumn("w", F.coalesce(F.col("w") * F.try_divide(F.col(f"goal_{name}"), F.sum("w").over(W.partitionBy(name))), F.lit(0.0)))
-    every = W.partitionBy()
-    df = df.withColumn("w", F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(every)), F.lit(0.0)))
-    df = df.withColumn("total", F.sum("tokens").over(every).cast("double"))
-    df = df.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") * F.col("total") / F.col("tokens")).otherwise(1.0))
-    df = df.withColumn("k", F.lit(float(budget)))
+    df = materialize(df.select(*DIMENSIONS, "tokens", "w"), "raked")
+    sums = df.agg(F.sum("w").alias("w"), F.sum("tokens").alias("tokens")).first()
+    total = float(sums.tokens or 0)
+    df = df.withColumn("w", F.coalesce(F.try_divide(F.col("w"), F.lit(float(sums.w or 0.0))), F.lit(0.0)))
+    df = df.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(1.0))
+    k = float(budget)
     for _ in range(ROUNDS):
-        full = F.col("k") * F.col("ratio") >= 1
-        whole = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(every)
-        rest = F.sum(F.when(full, 0.0).otherwise(F.col("w"))).over(every)
-        share = F.try_divide(F.col("total") * budget - whole, F.col("total") * rest)
-        df = df.withColumn("k", F.greatest(F.col("k"), F.coalesce(share, F.col("k"))))
-    return df.select(*DIMENSIONS, "tokens", F.col("w").alias("weight"), F.least(F.col("k") * F.col("ratio"), F.lit(1.0)).alias("probability"))
+        full = k * F.col("ratio") >= 1
+        got = df.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("whole"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("rest")).first()
+        if not total or not got.rest:
+            break
+        new = max(k, (total * budget - float(got.whole)) / (total * got.rest))
+        if new == k:
+            break
+        k = new
+    return df.select(*DIMENSIONS, "tokens", F.col("w").alias("weight"), F.least(F.lit(k) * F.col("ratio"), F.lit(1.0)).alias("probability"))
+
+
+def fit_report(raked: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """(dimension, value, target, raked, drawn): for each value of each marginal its target
+    share of the tokens, the share after the sweeps, and the expected share of what is drawn,
+    which falls short where a value's documents are already drawn whole."""
+    sums = raked.agg(F.sum("weight").alias("w"), F.sum(F.col("tokens") * F.col("probability")).alias("d")).first()
+    parts = []
+    for name in DIMENSIONS:
+        goal = _targets(raked, name, (targets or {}).get(name), flatten)
+        per = raked.groupBy(name).agg((F.sum("weight") / F.lit(float(sums.w or 1.0))).alias("raked"), (F.sum(F.col("tokens") * F.col("probability")) / F.lit(float(sums.d or 1.0))).alias("drawn"))
+        parts.append(per.join(goal, name).select(F.lit(name).alias("dimension"), F.col(name).alias("value"), F.col(f"goal_{name}").alias("target"), "raked", "drawn"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def expected_share(raked: DataFrame) -> float | None:
+    """The share of all tokens that the probabilities draw on average, to hold against the budget."""
+    return raked.agg(F.try_divide(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens").cast("double"))).first()[0]
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """(source, lang, topic, tokens) of described documents."""
+    return rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
 
 
 def uniform(doc_id: Column, seed: int = 0) -> Column:
@@ -98,8 +126,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     beyond doc_id, text, source and lang are not read.
     """
     rows = materialize(described(docs, topics), "described")
-    sums = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = materialize(rake(materialize(sums, "cells"), targets, budget=budget), "raked")
+    cells = rake(materialize(cells_of(rows), "cells"), targets, budget=budget)
     side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     both = rows.join(side.select(*DIMENSIONS, F.round("probability", 6).alias("probability")), list(DIMENSIONS), "left")
     return both.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))

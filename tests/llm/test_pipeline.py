@@ -11,6 +11,7 @@ from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii
 
 from .test_near_dedup import brute as brute_classes
 from .test_pii_tokens import brute as brute_pii
+from .test_pii_tokens import brute_more
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +43,7 @@ def test_rows_match_brute_force(spark):
 
     def redacted(text):
         out, at = "", 0
-        for a, b, kind in sorted((a, b, k) for k, a, b in brute_pii(text)):
+        for a, b, kind in sorted((a, b, k) for k, a, b in brute_pii(text) + brute_more(text)):
             if a >= at:
                 out += text[at:a] + f"[{kind.upper()}]"
             at = max(at, b)
@@ -85,9 +86,21 @@ def test_registered_and_shaped():
 
 def test_empty_and_extra_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "some words here", "en", "s", 15), (3, "some words here", "en", "s", 15)], docs.schema)
     one = near_dedup.keep_one(odd)
     assert sorted(r.doc_id for r in one.collect()) == [1, 2, 3]
     assert pii.find(odd).count() == 4
+
+
+def test_null_ids_and_very_long_texts_pass_every_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("lang = 'en' AND n_chars > 300").limit(40)
+    long = spark.createDataFrame([(None, "and the of with it " * 20_000, "en", "s", 380_000), (10**6, None, None, None, None)], docs.schema)
+    left = some.unionByName(long)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, left, SF)
+    rows = left.collect()
+    assert [len(r.text) for r in rows if r.doc_id is None] == [380_000] and all(r.text is not None for r in rows)
+    assert corpus_pipeline.STAGES[4][1](spark, left, SF).columns == docs.columns

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii
-from fieldloom.llm._common import free_name, materialize, table
+from fieldloom.llm._common import free_name, kept, scratch, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote besides its rows is deleted when they are
+    written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = kept(stage(spark, docs, sf_dir), name)
     return docs
 
 

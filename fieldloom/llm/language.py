@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, crc_mod, keyed_text, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, crc_mod, gives_back, keyed_text, mix64, slices, starts_of
 
 #: Labelled rows of each language at most for the fit (a bounded sample, lowest crc32 of
 #: the id first); their texts are used whole.
@@ -130,6 +130,7 @@ def training_rows(docs: DataFrame, modulus: int = 4, held_out: int = 2, rows: in
     ids = usable.select("lang", crc.alias("c"), F.col("doc_id").alias("__id")).withColumn("place", place).where(F.col("place") <= rows).select("__id").distinct()
     picked = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("lang", "text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["lang", "words"])
@@ -206,6 +207,7 @@ def predict(docs: DataFrame, field: Field, words: bool = False) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in slices(batches):
@@ -258,6 +260,7 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     judged one by one, also where they share an id."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in slices(batches):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fieldloom.llm._common import Numbered, by_ids, materialize, mix64, slices, starts_of
+from fieldloom.llm._common import TEXT_ROWS, Numbered, batches_of, by_ids, gives_back, materialize, mix64, slices, starts_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair agrees on no band of five with probability 7e-6.
@@ -109,6 +109,7 @@ def prob_minhash(of: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, key, size, bands): key null for a text without words; bands one long each."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Numbered(_hashes)
         for batch in slices(batches):
@@ -159,6 +160,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
     ids = nodes.join(involved, "key", "left_semi").select(F.xxhash64("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(_bits(ids))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered, bits = Numbered(_hashes), shared.value
         for whole in batches:
@@ -179,10 +181,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
     pairs = materialize(pairs, "pairs")
     if sets is None:
         involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets = materialize(_sets(docs, nodes, involved), "sets")
+        with batches_of(docs.sparkSession, TEXT_ROWS):
+            sets = materialize(_sets(docs, nodes, involved), "sets")
     left, right = (sets.select(F.col("key").alias(k), F.col("elements").alias(f"s{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -194,7 +198,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    return materialize(both.mapInArrow(run, "a binary, b binary"), "links")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return materialize(both.mapInArrow(run, "a binary, b binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,6 +317,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     of both add up to (1 + similarity) / similarity times that at most. Elements of one
     set alone are left out."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [unpacked(x).view(np.int64) for x in batch.column(1).to_pylist()]
@@ -350,6 +356,7 @@ def _repeated(nodes: DataFrame) -> DataFrame:
     counts = materialize(counts, "repeated")
     shared = nodes.sparkSession.sparkContext.broadcast(_bits(counts.select("bucket")))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
@@ -370,7 +377,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     without words (null, empty) is a class of its own under its own id. Repeated rows fall
     into one class; only doc_id and text are read.
     """
-    found = materialize(signatures(docs), "signatures")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        found = materialize(signatures(docs), "signatures")
     some = found.where("key IS NOT NULL")
     nodes = materialize(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "nodes")
     rows = materialize(_repeated(nodes), "buckets")
@@ -384,7 +392,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     crowded = F.col("pairs") > PAIRS_PER_MEMBER * F.col("n")
     many, few = mixed.where(crowded).select("bucket", "key", "size"), mixed.where(~crowded)
     if not many.isEmpty():
-        sets = materialize(_sets(docs, nodes, many.select("key").distinct()), "crowd")
+        with batches_of(docs.sparkSession, TEXT_ROWS):
+            sets = materialize(_sets(docs, nodes, many.select("key").distinct()), "crowd")
         labels = _joined(labels, _block_links(many, sets, similarity))
         finer = materialize(_mixed(_labelled(_prefixes(sets, similarity), labels)), "finer")
         pairs = _meeting(finer, similarity).join(star, ["a", "b"], "left_anti")
@@ -403,6 +412,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, of which each class keeps the one with the least doc_id
     (one row of it, should the row be repeated)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Numbered(_hashes)
         for batch in slices(batches):

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from fieldloom.llm import decontaminate, language, mixing, near_dedup, pii
+from fieldloom.llm import _common, decontaminate, language, mixing, near_dedup, pii
+from fieldloom.llm._common import table
 
 from .test_near_dedup import brute as brute_classes
 from .test_pii_tokens import brute as brute_pii
@@ -104,3 +106,21 @@ def test_null_ids_and_very_long_texts_pass_every_stage(spark):
     rows = left.collect()
     assert [len(r.text) for r in rows if r.doc_id is None] == [380_000] and all(r.text is not None for r in rows)
     assert corpus_pipeline.STAGES[4][1](spark, left, SF).columns == docs.columns
+
+
+def test_workers_hold_small_batches_and_give_memory_back(spark, monkeypatch):
+    """Batches of whole texts are small where they are read, and a task's end frees them."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    for module in (near_dedup, decontaminate):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag, real=real: seen.setdefault(tag, int(spark.conf.get(name))) and real(df, tag))
+    before = spark.conf.get(name)
+    docs, items = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    assert decontaminate.clean(near_dedup.keep_one(docs), items).count() > 0
+    assert all(seen[tag] <= 1_000 for tag in ("signatures", "sets", "links", "regions"))
+    assert spark.conf.get(name) == before
+    released = []
+    monkeypatch.setattr(_common.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: released.append(1)))
+    whole = _common.gives_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(whole) == 2 and not released
+    assert list(whole) == [3] and released == [1]

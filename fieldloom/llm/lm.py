@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +112,20 @@ def initial(counts: np.ndarray, dims: int = DIMENSIONS, seed: int = 3) -> Vector
 
 
 def _add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # classes fit; sorted by radix
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     target[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
+def _falling(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in x's single precision."""
+    x = np.minimum(np.maximum(x, np.float32(-30)), np.float32(30)).astype(np.float32, copy=False)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Noise-contrastive estimation on batches; the model's scores are taken as normalised,
     as is usual, and one set of noise words serves a batch. Steps are scaled as in Adagrad."""
@@ -124,7 +133,7 @@ class Trainer:
     def __init__(self, start: Vectors, counts: np.ndarray, seed: int):
         self.v = Vectors(*(x.copy() for x in (start.R, start.C1, start.C2, start.Q, start.b)))
         self.rng, share = np.random.default_rng(seed), (counts + 1) / (counts + 1).sum()
-        self.edges, self.noise_log = np.cumsum(share), np.log(share * NOISE)
+        self.edges, self.noise_log = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
         self.sq = {n: np.full(len(counts), 0.1, np.float32) for n in ("R", "Q", "b")} | {n: np.float32(1.0) for n in ("C1", "C2")}
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
@@ -132,11 +141,12 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
         r1, r2 = v.R[c1], v.R[c2]
         guess = r1 @ v.C1 + r2 @ v.C2
-        true = (guess * v.Q[w]).sum(axis=1) + v.b[w] - self.noise_log[w]
+        own = v.Q[w]
+        true = np.einsum("ij,ij->i", guess, own) + v.b[w] - self.noise_log[w]
         false = guess @ v.Q[noise].T + (v.b[noise] - self.noise_log[noise])
-        gt = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)  # 1 - p(data)
-        gf = (-1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)  # -p(data)
-        into = gt[:, None] * v.Q[w] + gf @ v.Q[noise]
+        gt = _falling(true)  # 1 - p(data)
+        gf = -_falling(-false)  # -p(data)
+        into = gt[:, None] * own + gf @ v.Q[noise]
         gq, gn = gt[:, None] * guess, gf.T @ guess
         self._rows("Q", np.concatenate((w, noise)), np.concatenate((gq, gn)))
         at, gb = np.concatenate((w, noise)), np.concatenate((gt, gf.sum(axis=0)))
@@ -162,7 +172,7 @@ class Trainer:
         x, sq = getattr(self.v, name), self.sq[name]
         g = np.zeros_like(x)
         _add_rows(g, at, grads)
-        sq += (g * g).mean(axis=1)
+        sq += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
         x += STEP * g / np.sqrt(sq)[:, None]
 
 
@@ -171,11 +181,18 @@ def numbered(texts: list[str], classes: Classes) -> tuple[list[list[bytes]], np.
     array; and where each text starts in it."""
     words = [words_of(t) for t in texts]
     starts = starts_of(np.array([len(w) + 1 for w in words], dtype=np.int64))
-    of = classes.__getitem__
-    ids = np.fromiter((c for ws in words for c in (*map(of, ws), END)), dtype=np.int64, count=int(starts[-1]))
+    ids = np.full(int(starts[-1]), END, dtype=np.int64)
+    ids[_inner(starts)] = np.fromiter(map(classes.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(ids) - len(words))
     return words, ids, starts
 
 
+def _inner(starts: np.ndarray) -> np.ndarray:
+    """True at the tokens that are words, False at each text's end."""
+    inner = np.ones(int(starts[-1]), bool)
+    inner[starts[1:] - 1] = False
+    return inner
+
+
 def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and the one before that; the end stands before a text."""
     c1, c2 = np.empty_like(ids), np.empty_like(ids)
@@ -297,20 +314,21 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words, one, two, z, share = shared.value
         logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        classes = Classes(words)
+        classes, K = Classes(words), len(one)
         for batch in slices(batches):
             found, ids, starts = numbered(batch.column(1).to_pylist(), classes)
             c1, c2 = contexts(ids, starts)
-            nat = (one[c1, ids].astype(np.float64) + two[c2, ids] - z[c1, c2]) / _LOG10 + share[ids]
+            nat = (one.take(c1 * K + ids).astype(np.float64) + two.take(c2 * K + ids) - z.take(c1 * K + c2)) / _LOG10 + share[ids]
             model = np.add.reduceat(nat, starts[:-1])
-            own, n_known, missed = [], [], []
-            for ws in found:
-                own.append(sum(map(logs.get, ws, _ZEROS)))
-                missing = [w for w in ws if w not in logs]
-                n_known.append(len(ws) - len(missing) + (ends > 0))
-                missed.append([] if complete else missing)
-            n, own = np.diff(starts), np.array(own)
-            lists = pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(m) for m in missed])), pa.int32()), pa.array([w for m in missed for w in m], pa.binary()))
+            inner, log = _inner(starts), np.zeros(len(ids))
+            log[inner] = np.fromiter(map(logs.get, chain.from_iterable(found), repeat(np.nan)), np.float64, len(ids) - len(found))
+            unknown = np.isnan(log)
+            log[unknown] = 0
+            n, own, missing = np.diff(starts), np.add.reduceat(log, starts[:-1]), np.add.reduceat(unknown, starts[:-1], dtype=np.int64)
+            n_known = n - 1 - missing + (ends > 0)
+            none = complete or not unknown.any()
+            missed = [] if none else [w for w, out in zip(chain.from_iterable(found), unknown[inner].tolist()) if out]
+            lists = pa.ListArray.from_arrays(pa.array(starts_of(missing * (not none)), pa.int32()), pa.array(missed, pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n), pa.array(n_known, pa.int64()), pa.array(own + end_log - n * base_log), pa.array(model + own), lists],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "missed"],
@@ -333,12 +351,3 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         (F.col("base_score") + zero("x")).alias("base_score"),
         (F.col("score") + zero("x")).alias("score"),
     )
-
-
-class _Zeros:
-    def __iter__(self):
-        while True:
-            yield 0.0
-
-
-_ZEROS = _Zeros()

@@ -120,3 +120,17 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     held = [r for r in rows if r.held_out]
     assert len(rows) == 1000 and len(held) > 90
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_steps_and_scores_are_in_single_precision_and_without_a_call_a_text():
+    """What a step costs: no sort of eight-byte numbers, no exponentials of double ones."""
+    counts = np.arange(1.0, 400.0)
+    trainer = lm.Trainer(lm.initial(counts), counts, 1)
+    assert trainer.noise_log.dtype == np.float32
+    x = np.array([-1e6, -3, 0, 3, 1e6], np.float32)
+    got = lm._falling(x)
+    assert got.dtype == np.float32 and np.allclose(got, 1 / (1 + np.exp(np.clip(x.astype(float), -30, 30))), rtol=1e-6)
+    target, at = np.zeros((400, 3), np.float32), np.array([399, 0, 399, 7])
+    lm._add_rows(target, at, np.ones((4, 3), np.float32))
+    assert target[399].tolist() == [2, 2, 2] and target[0].tolist() == target[7].tolist() == [1, 1, 1] and target.sum() == 12
+    assert lm._inner(np.array([0, 3, 4, 6])).tolist() == [True, True, False, False, True, False]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import Numbered, crc_mod, gives_back, keyed_text, mix64, slices, starts_of
+from fieldloom.llm._common import Numbered, crc_mod, driver_gives_back, gives_back, keyed_text, mix64, slices, starts_of
 
 #: Labelled rows of each language at most for the fit (a bounded sample, lowest crc32 of
 #: the id first); their texts are used whole.
@@ -252,7 +252,9 @@ class Labeller:
 
 def learn(docs: DataFrame) -> Field:
     """Fit on the bounded sample of ``docs`` (doc_id, text, lang)."""
-    return fit((r.lang, r.words) for r in training_rows(docs).toLocalIterator())
+    field = fit((r.lang, r.words) for r in training_rows(docs).toLocalIterator())
+    driver_gives_back(docs.sparkSession)
+    return field
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -124,3 +124,18 @@ def test_workers_hold_small_batches_and_give_memory_back(spark, monkeypatch):
     whole = _common.gives_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
     assert next(whole) == 2 and not released
     assert list(whole) == [3] and released == [1]
+
+
+def test_the_driver_gives_memory_back_as_stages_run(spark, monkeypatch):
+    report = _common.driver_gives_back(spark)
+    assert report is None or "rim" in report
+    calls, real = [], _common.driver_gives_back
+    monkeypatch.setattr(_common, "driver_gives_back", lambda session: calls.append(1) or real(session))
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for name in ("near_dedup", "decontaminate", "mixing"):
+        before = len(calls)
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+        assert len(calls) > before
+    before = len(calls)
+    _common.kept(docs, "stage")  # what ends each stage of run()
+    assert len(calls) == before + 1

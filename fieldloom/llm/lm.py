@@ -19,10 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._common import crc_mod, keyed_text, materialize, slices, starts_of
+from fieldloom.llm._words import Lookup, Tally, Words, by_ascii_space, of_column
 
 #: Words of the neural vocabulary, length of the vectors, noise words shared by a batch,
 #: positions in a batch, step of the descent.
@@ -71,34 +71,53 @@ def form_of(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:] + (b"9" if _A_DIGIT(word) else b"a")) % FORMS
 
 
-class Classes(dict):
-    """Class numbers of words: the frequent ones', and what was worked out for others here."""
+@cache
+def _forms() -> np.ndarray:
+    """form_of by (a digit or not, the last byte but one, the last), words of one byte last."""
+    ends = [*(bytes((x, y)) for x in range(256) for y in range(256)), *(bytes((y,)) for y in range(256))]
+    return np.array([[1 + zlib.crc32(e + mark) % FORMS for e in ends] for mark in (b"a", b"9")], dtype=np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        made = form_of(word)
-        if len(self) < COUNTER_ROWS:
-            self[word] = made
-        return made
+
+def forms_of(words: Words, which: np.ndarray) -> np.ndarray:
+    """:func:`form_of` some of the words."""
+    data, last, size = words.data, words.start[which] + words.size[which] - 1, words.size[which]
+    digits = np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)
+    first = words.start[which]
+    digit = digits[last] - digits[first] + ((data[first] >= 48) & (data[first] <= 57)) > 0
+    before = np.where(size > 1, data[last - (size > 1)].astype(np.int64), 256)
+    return _forms()[digit.view(np.int8), before << 8 | data[last]]
+
+
+class Classes:
+    """Class numbers of words: those given, and the forms of all others. Of ``more`` words only
+    the places are told."""
+
+    def __init__(self, words: dict[bytes, int], more: list[bytes] | tuple = ()):
+        self.lookup = Lookup([*words, *more])
+        self.number = np.array([*words.values(), *[-1] * (len(more) + 1)], dtype=np.int64)
+
+    def __call__(self, words: Words) -> np.ndarray:
+        words.place = self.lookup(words, words.odd())
+        ids = self.number[words.place]
+        rare = np.flatnonzero(ids < 0)
+        ids[rare] = forms_of(words, rare)
+        return ids
 
 
 def _counts(training: DataFrame) -> DataFrame:
     """(word, c) over the training texts; each task adds up before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return made
-
+        seen = Tally()
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > COUNTER_ROWS:
-                yield out()
-        if seen:
-            yield out()
+            seen.add(by_ascii_space(batch.column(0)))
+            if len(seen) > 2 * COUNTER_ROWS:
+                seen.merge()
+                if len(seen) > COUNTER_ROWS:
+                    yield pa.RecordBatch.from_arrays(list(seen.columns()), ["word", "c"])
+                    seen.clear()
+        if len(seen):
+            yield pa.RecordBatch.from_arrays(list(seen.columns()), ["word", "c"])
 
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -111,19 +130,28 @@ def initial(counts: np.ndarray, dims: int = DIMENSIONS, seed: int = 3) -> Vector
     return Vectors(draw(k), np.eye(dims, dtype=np.float32), 0.5 * np.eye(dims, dtype=np.float32), draw(k), np.log(share).astype(np.float32))
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Of each of ``k`` classes the sum of its rows, added in double precision."""
+    dims = rows.shape[-1]
+    flat = _flat(k, dims).take(at.ravel(), axis=0)
+    return np.bincount(flat.ravel(), rows.ravel(), k * dims).astype(np.float32).reshape(k, dims)
+
+
+@lru_cache(4)
+def _flat(k: int, dims: int) -> np.ndarray:
+    return np.arange(k * dims).reshape(k, dims)
+
+
 def _add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # classes fit; sorted by radix
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    target[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+    target += _sums(at, rows, len(target))
 
 
-def _falling(x: np.ndarray) -> np.ndarray:
+def _falling(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """1 / (1 + exp(x)), in x's single precision."""
-    x = np.minimum(np.maximum(x, np.float32(-30)), np.float32(30)).astype(np.float32, copy=False)
+    x = np.clip(x, np.float32(-30), np.float32(30), out=out)
     np.exp(x, out=x)
     x += np.float32(1)
-    return np.reciprocal(x, out=x)
+    return np.divide(np.float32(1), x, out=x)
 
 
 class Trainer:
@@ -135,30 +163,35 @@ class Trainer:
         self.rng, share = np.random.default_rng(seed), (counts + 1) / (counts + 1).sum()
         self.edges, self.noise_log = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
         self.sq = {n: np.full(len(counts), 0.1, np.float32) for n in ("R", "Q", "b")} | {n: np.float32(1.0) for n in ("C1", "C2")}
+        self.room: np.ndarray | None = None  # of a batch's noise scores, used again
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
-        v, n = self.v, len(w)
+        v, n, dims = self.v, len(w), self.v.R.shape[1]
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
-        r1, r2 = v.R[c1], v.R[c2]
-        guess = r1 @ v.C1 + r2 @ v.C2
-        own = v.Q[w]
-        true = np.einsum("ij,ij->i", guess, own) + v.b[w] - self.noise_log[w]
-        false = guess @ v.Q[noise].T + (v.b[noise] - self.noise_log[noise])
-        gt = _falling(true)  # 1 - p(data)
-        gf = -_falling(-false)  # -p(data)
-        into = gt[:, None] * own + gf @ v.Q[noise]
-        gq, gn = gt[:, None] * guess, gf.T @ guess
-        self._rows("Q", np.concatenate((w, noise)), np.concatenate((gq, gn)))
-        at, gb = np.concatenate((w, noise)), np.concatenate((gt, gf.sum(axis=0)))
-        g = np.bincount(at, gb, len(v.b)).astype(np.float32)
+        both, C = np.stack((c1, c2), axis=1), np.concatenate((v.C1, v.C2))
+        r = v.R.take(both.ravel(), axis=0).reshape(n, 2 * dims)
+        guess = r @ C
+        own, minus, offset = v.Q.take(w, axis=0), -v.Q.take(noise, axis=0), v.b - self.noise_log
+        gt = _falling(np.einsum("ij,ij->i", guess, own) + offset.take(w))  # 1 - p(data)
+        if self.room is None or len(self.room) < n:
+            self.room = np.empty((n, NOISE), np.float32)
+        gf = np.matmul(guess, minus.T, out=self.room[:n])
+        gf -= offset.take(noise)
+        gf = _falling(gf, out=gf)  # p(data), which noise is to lower
+        own *= gt[:, None]
+        own += gf @ minus
+        into = own
+        gq, gn = gt[:, None] * guess, -(guess.T @ gf).T
+        at = np.concatenate((w, noise))
+        self._rows("Q", _sums(at, np.concatenate((gq, gn)), len(v.b)))
+        g = np.bincount(at, np.concatenate((gt, -(np.ones(n, np.float32) @ gf))), len(v.b)).astype(np.float32)
         self.sq["b"] += g * g
         v.b += STEP * g / np.sqrt(self.sq["b"])
-        g1, g2 = into @ v.C1.T, into @ v.C2.T
-        for name, r in (("C1", r1), ("C2", r2)):
-            g = r.T @ into
+        back, turned = into @ C.T, r.T @ into
+        for name, g in (("C1", turned[:dims]), ("C2", turned[dims:])):
             self.sq[name] += np.float32((g * g).mean())
             setattr(v, name, getattr(v, name) + STEP * g / np.sqrt(self.sq[name]))
-        self._rows("R", np.concatenate((c1, c2)), np.concatenate((g1, g2)))
+        self._rows("R", _sums(both, back.reshape(2 * n, dims), len(v.b)))
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
         """One pass over whole texts, in an order of the trainer's own."""
@@ -168,21 +201,19 @@ class Trainer:
             at = order[a : a + BATCH]
             self.step(c1[at], c2[at], ids[at])
 
-    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
+    def _rows(self, name: str, g: np.ndarray) -> None:
         x, sq = getattr(self.v, name), self.sq[name]
-        g = np.zeros_like(x)
-        _add_rows(g, at, grads)
         sq += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-        x += STEP * g / np.sqrt(sq)[:, None]
+        x += (np.float32(STEP) / np.sqrt(sq))[:, None] * g
 
 
-def numbered(texts: list[str], classes: Classes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text; classes of all tokens (each text's words, then its end) in one
+def numbered(texts: pa.Array | list[str], classes: Classes) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of the texts; classes of all tokens (each text's words, then its end) in one
     array; and where each text starts in it."""
-    words = [words_of(t) for t in texts]
-    starts = starts_of(np.array([len(w) + 1 for w in words], dtype=np.int64))
+    words = by_ascii_space(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    starts = words.cut + np.arange(len(words.cut))
     ids = np.full(int(starts[-1]), END, dtype=np.int64)
-    ids[_inner(starts)] = np.fromiter(map(classes.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(ids) - len(words))
+    ids[_inner(starts)] = classes(words)
     return words, ids, starts
 
 
@@ -207,14 +238,14 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _train(training: DataFrame, start: Vectors, counts: np.ndarray, words: dict[bytes, int], shards: int) -> Vectors:
     """One pass over all training texts, shard by shard; results are averaged."""
     spark = training.sparkSession
-    known = spark.sparkContext.broadcast(words)
+    known = spark.sparkContext.broadcast(Classes(words))
     shared = spark.sparkContext.broadcast((start, counts))
     k, dims = start.R.shape
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(known.value)
+        classes = known.value
         for batch in slices(batches):
-            _, ids, starts = numbered(batch.column(1).to_pylist(), classes)
+            _, ids, starts = numbered(batch.column(1), classes)
             at = (starts * 2).astype(np.int64)
             body = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(ids.astype(np.uint16))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), body], ["h", "ids"])
@@ -264,16 +295,16 @@ def tables(v: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _form_counts(counts: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each form, of the words that are not frequent."""
-    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
+    shared = counts.sparkSession.sparkContext.broadcast(Lookup(list(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, types, known = np.zeros(FIRST_WORD, np.int64), np.zeros(FIRST_WORD, np.int64), shared.value
         for batch in batches:
-            rare = [(form_of(w), c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in known]
-            if rare:
-                at, c = np.array(rare, dtype=np.int64).T
-                tokens += np.bincount(at, c, FIRST_WORD).astype(np.int64)
-                types += np.bincount(at, minlength=FIRST_WORD)
+            found = of_column(batch.column(0))
+            rare = np.flatnonzero(known(found, found.odd()) < 0)
+            at = forms_of(found, rare)
+            tokens += np.bincount(at, batch.column(1).to_numpy()[rare], FIRST_WORD).astype(np.int64)
+            types += np.bincount(at, minlength=FIRST_WORD)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FIRST_WORD, dtype=np.int32)), pa.array(tokens), pa.array(types)], ["form", "tokens", "types"])
 
     made = counts.select("word", "c").mapInArrow(run, "form int, tokens long, types long").groupBy("form").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toPandas()
@@ -297,7 +328,6 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     ends = training.count()
     V, N = total.v + (ends > 0), (total.n or 0) + ends
     top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(TABLE_ROWS).toLocalIterator()]
-    known = dict(top)
     words = {w: FIRST_WORD + i for i, (w, _) in enumerate(top[:VOCABULARY])}
     tokens, types = _form_counts(counts, words)
     class_counts = np.concatenate((tokens.astype(np.float64), [float(c) for _, c in top[:VOCABULARY]]))
@@ -307,28 +337,29 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     share = np.zeros(len(class_counts))
     share[1:FIRST_WORD] = -np.log10(tokens[1:] + types[1:] + 1)
     share[FIRST_WORD:] = -np.log10(class_counts[FIRST_WORD:] + 1)
-    shared = spark.sparkContext.broadcast((known, words, one, two, z, share))
+    # a word's logarithm by its place in the table; the last is for those that are not in it
+    logs = np.append(np.log10(np.array([c for _, c in top], dtype=np.float64) + 1), np.nan)
+    shared = spark.sparkContext.broadcast((Classes(words, [w for w, _ in top[VOCABULARY:]]), logs, one, two, z, share))
     base_log, end_log = float(np.log10(N + V + 1)), float(np.log10(ends + 1))
     complete = total.v <= TABLE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words, one, two, z, share = shared.value
-        logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        classes, K = Classes(words), len(one)
+        classes, logs, one, two, z, share = shared.value
+        K = len(one)
         for batch in slices(batches):
-            found, ids, starts = numbered(batch.column(1).to_pylist(), classes)
+            found, ids, starts = numbered(batch.column(1), classes)
             c1, c2 = contexts(ids, starts)
             nat = (one.take(c1 * K + ids).astype(np.float64) + two.take(c2 * K + ids) - z.take(c1 * K + c2)) / _LOG10 + share[ids]
             model = np.add.reduceat(nat, starts[:-1])
             inner, log = _inner(starts), np.zeros(len(ids))
-            log[inner] = np.fromiter(map(logs.get, chain.from_iterable(found), repeat(np.nan)), np.float64, len(ids) - len(found))
+            log[inner] = logs[found.place]
             unknown = np.isnan(log)
             log[unknown] = 0
             n, own, missing = np.diff(starts), np.add.reduceat(log, starts[:-1]), np.add.reduceat(unknown, starts[:-1], dtype=np.int64)
             n_known = n - 1 - missing + (ends > 0)
             none = complete or not unknown.any()
-            missed = [] if none else [w for w, out in zip(chain.from_iterable(found), unknown[inner].tolist()) if out]
-            lists = pa.ListArray.from_arrays(pa.array(starts_of(missing * (not none)), pa.int32()), pa.array(missed, pa.binary()))
+            missed = found.column(np.empty(0, np.int64) if none else np.flatnonzero(found.place < 0))
+            lists = pa.ListArray.from_arrays(pa.array(starts_of(missing * (not none)), pa.int32()), missed)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n), pa.array(n_known, pa.int64()), pa.array(own + end_log - n * base_log), pa.array(model + own), lists],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "missed"],

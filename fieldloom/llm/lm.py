@@ -58,11 +58,6 @@ class Vectors:
     b: np.ndarray
 
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 _A_DIGIT = re.compile(rb"[0-9]").search
 
 
